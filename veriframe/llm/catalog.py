@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from .block_topk import ORACLE_OP7, op7_block_topk
 from .one_bit_ann import op2_one_bit_ann
+from .quality import op9_quality
 from .ring_sharding import op8_ring_sharding
+from .toxicity import op1_toxicity
 from .warc import ORACLE_OP4, op4_warc
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_one_bit_ann": op2_one_bit_ann,
     "op4_warc": op4_warc,
     "op7_block_topk": op7_block_topk,
     "op8_ring_sharding": op8_ring_sharding,
+    "op9_quality": op9_quality,
 }
 ORACLES = {"op4_warc": ORACLE_OP4, "op7_block_topk": ORACLE_OP7}
