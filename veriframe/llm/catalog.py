@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .block_topk import ORACLE_OP7, op7_block_topk
 from .one_bit_ann import op2_one_bit_ann
+from .packing import op3_packing
 from .quality import op9_quality
 from .ring_sharding import op8_ring_sharding
 from .toxicity import op1_toxicity
@@ -12,6 +13,7 @@ from .warc import ORACLE_OP4, op4_warc
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_one_bit_ann": op2_one_bit_ann,
+    "op3_packing": op3_packing,
     "op4_warc": op4_warc,
     "op7_block_topk": op7_block_topk,
     "op8_ring_sharding": op8_ring_sharding,
