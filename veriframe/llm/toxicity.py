@@ -214,7 +214,7 @@ class Scorer:
                     self.found[w] = hit
         if len(self.clean) > 400_000 or len(self.found) > 100_000:
             self.clean, self.found = set(), {w: h for w, h in self.found.items() if w in distinct}
-        bad = distinct & self.found.keys()
+        bad = {w for w in distinct if w in self.found}
         if not bad:
             return x, 0
         abuse = fuzzy = quoted = 0.0
