@@ -234,7 +234,7 @@ def _look_up(words: Table, pattern: str):
             cols: list[list] = [[] for _ in range(4)]
             for text in batch.column("text"):
                 parts = units(text.as_py() or "")
-                got = [known.get(u) for u in parts]
+                got = list(map(known.get, parts))
                 at, which, rare = [], [], {}
                 if None in got:
                     done = 0

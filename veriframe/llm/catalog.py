@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .block_topk import ORACLE_OP7, op7_block_topk
 from .byte_bpe import op5_byte_bpe
+from .near_dedup import op6_near_dedup
 from .one_bit_ann import op2_one_bit_ann
 from .packing import op3_packing
 from .quality import op9_quality
@@ -17,6 +18,7 @@ QUERIES = {
     "op3_packing": op3_packing,
     "op4_warc": op4_warc,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_near_dedup": op6_near_dedup,
     "op7_block_topk": op7_block_topk,
     "op8_ring_sharding": op8_ring_sharding,
     "op9_quality": op9_quality,
