@@ -20,8 +20,8 @@ CAPACITY = 4096
 END_ID = 2
 #: Pieces that one packing task takes; groups are dealt by hash, so their size is even.
 GROUP_PIECES = 4096
-_CACHE_LIMIT = 700_000
-_COMMON = 16_000
+_CACHE_LIMIT = 1_500_000
+_COMMON = 20_000
 
 
 class WordEncoder:
@@ -33,7 +33,8 @@ class WordEncoder:
     are left to the tokenizer whole.
     """
 
-    ODD = re.compile("[^\x00-\u02ff]|[\x01\x1c-\x1f\x85]|<\\|")
+    MARKS = ("<|", "\x01", "\x1c", "\x1d", "\x1e", "\x1f", "\x85")
+    BEYOND = re.compile("[^\x00-\u02ff]")
     BREAK = "\x01"
 
     def __init__(self, blob: str):
@@ -51,6 +52,18 @@ class WordEncoder:
         (self.break_id,) = np.frombuffer(self._encode([self.BREAK])[0], "<u4")
         self.marks = {m: self._encode([m])[0] for m in ",.;:!?"}
 
+    def odd(self, text: str) -> bool:
+        """Whether the text is to be left to the tokenizer; plain ones are told by quick tests alone."""
+        if any(m in text for m in self.MARKS):
+            return True
+        if text.isascii():
+            return False
+        try:
+            text.encode("latin-1")
+            return False
+        except UnicodeEncodeError:
+            return bool(self.BEYOND.search(text))
+
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
@@ -83,7 +96,7 @@ class WordEncoder:
             self.words.clear()
         common, get, new, split, codes, gaps = self.common.get, self.words.get, set(), [], [], []
         for text in texts:
-            odd = self.ODD.search(text)
+            odd = self.odd(text)
             words = [] if odd else text.lower().split()
             code = self._encode([text]) if odd else list(map(common, words))
             gap = []
