@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .backoff_lm import op10_backoff_lm
 from .block_topk import ORACLE_OP7, op7_block_topk
 from .byte_bpe import op5_byte_bpe
 from .near_dedup import op6_near_dedup
@@ -22,5 +23,6 @@ QUERIES = {
     "op7_block_topk": op7_block_topk,
     "op8_ring_sharding": op8_ring_sharding,
     "op9_quality": op9_quality,
+    "op10_backoff_lm": op10_backoff_lm,
 }
 ORACLES = {"op4_warc": ORACLE_OP4, "op7_block_topk": ORACLE_OP7}
