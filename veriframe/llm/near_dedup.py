@@ -18,10 +18,11 @@ from .shingles import MinHash, common, mix, shingle_set
 TREES, STRIDE = 20, 4
 VALUES = TREES * STRIDE
 #: Depths at which regions of an order may be told apart; a region is deepened until it holds REGION rows at most.
-DEPTHS = (4, 6, 8, 11, 15, 22, 40, VALUES)
-REGION = 64
-#: Neighbours of a row in a region that become candidates: the nearest by common prefix and signature.
-NEIGHBOURS = 8
+DEPTHS = (4, 7, 11, 18, VALUES)
+REGION = 1024
+#: Neighbours of a row in a region that become candidates, the nearest by signature: of all rows,
+#: then, once components are known, of the rows of other components.
+NEIGHBOURS, ACROSS = 8, 48
 
 
 def _signatures(width: int):
@@ -49,7 +50,7 @@ def prefix_keys(sig: np.ndarray, tree: int, depths: tuple[int, ...]) -> np.ndarr
     turned = np.roll(sig, -tree * STRIDE, axis=1).astype(np.uint64)
     h, out = np.zeros(len(sig), np.uint64), []
     for i in range(max(depths)):
-        h = mix(h + turned[:, i] + np.uint64(i + 1) * np.uint64(0x9E3779B97F4A7C15))
+        h = mix(h + turned[:, i] + np.uint64((i + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
         if i + 1 in depths:
             out.append(h.view(np.int64))
     return np.stack(out, axis=1)
@@ -98,22 +99,34 @@ def groups_of(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]
         yield pa.Table.from_batches(held)
 
 
-def _neighbours(least: float):
-    """Candidate pairs of a region: for every row its NEIGHBOURS nearest rows by signature."""
+def alike(sig: np.ndarray) -> np.ndarray:
+    """Number of equal values of every two rows."""
+    out = np.zeros((len(sig), len(sig)), np.uint8)
+    for column in sig.T:
+        out += column[:, None] == column[None, :]
+    return out
+
+
+def _neighbours(share: float, most: int):
+    """Candidate pairs of a region: for every row its `most` nearest rows of other groups.
+
+    Rows that agree in less than `share` of their signatures are no candidates.
+    """
+    least = int(np.ceil(share * VALUES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a_out, b_out, r_out = [], [], []
         for t in groups_of(batches, "region"):
-            if len(t) < 2:
+            group = t.column("group").to_numpy()
+            if len(t) < 2 or (group == group[0]).all():
                 continue
             sig, rep = _matrix(t.column("sig")), t.column("rep").to_numpy()
-            alike = (sig[:, None, :] == sig[None, :, :]).mean(2)
-            np.fill_diagonal(alike, 0)
-            if len(t) > NEIGHBOURS + 1:
-                kth = np.partition(alike, len(t) - NEIGHBOURS, axis=1)[:, len(t) - NEIGHBOURS]
-                near = alike >= np.maximum(kth, least)[:, None]
-            else:
-                near = alike >= least
+            same = alike(sig)
+            same[group[:, None] == group[None, :]] = 0
+            near = same >= least
+            if len(t) > most + 1:
+                kth = np.partition(same, len(t) - most, axis=1)[:, len(t) - most]
+                near &= same >= kth[:, None]
             i, j = np.nonzero(np.triu(near | near.T))
             a_out += np.minimum(rep[i], rep[j]).tolist()
             b_out += np.maximum(rep[i], rep[j]).tolist()
@@ -164,6 +177,18 @@ def _confirm(percent: int):
     return run
 
 
+def _links(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links among staged candidate pairs (a, b, region): each text once, its set once for each region."""
+    asked = pairs.groupBy("region", F.col("a").alias("rep")).agg(F.collect_list("b").alias("partners"))
+    ends = pairs.select("region", F.col("b").alias("rep"), F.array().cast("array<long>").alias("partners"))
+    sides = asked.unionByName(ends).groupBy("region", "rep").agg(F.flatten(F.collect_list("partners")).alias("partners"))
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(wanted.hint("merge"), "rep", "left_semi")
+    sets = texts.mapInArrow(_sets(width), "rep long, words binary")
+    met = sides.join(sets.hint("merge"), "rep").select("region", "rep", "partners", "words")
+    return stage(met.repartition("region").sortWithinPartitions("region").mapInArrow(_confirm(percent), "a long, b long"), "confirmed")
+
+
 def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row.
 
@@ -172,14 +197,15 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85) -> DataF
     the same first values in an order form a region; a region of over REGION rows is told apart
     further on in its order, region by region, and rows whose whole signatures agree are compared
     with the least of them. In a region every row is paired with its NEIGHBOURS nearest. Pairs are
-    confirmed on the full sets of shingle hashes (64 bits), then joined to components.
+    confirmed on the full sets of shingle hashes (64 bits), then joined to components. In regions
+    with more rows than that, rows of different components are then paired once more, with ACROSS neighbours.
 
     A text of fewer than `width` words is one shingle. Null, empty and blank texts have no shingles
     and are linked with nothing. Rows without a doc_id take the component of their class (null if
     it has none) and are kept only then. Repeated rows share everything. Only doc_id and text are read.
 
-    Shuffled: signatures by class, one narrow row a tree and class, the signatures of crowded or shared
-    regions, texts once to find those of candidates, and their sets once for each region in
+    Shuffled: signatures by class, one narrow row a tree and class, the signatures of shared
+    regions, texts to find those of candidates, and their sets once for each region in
     which a pair of theirs was found first. No group beyond REGION rows meets in a task.
     """
     signed = stage(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_signatures(width), "doc_id long, n long, digest binary, sig binary"), "signatures")
@@ -190,33 +216,35 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85) -> DataF
     crowd = shallow.groupBy("tree", "key").agg(F.count("*").alias("size")).where("size > 1")
     shared = stage(shallow.join(crowd, ["tree", "key"]).select("tree", "key", "rep", "size"), "regions")
     region = F.xxhash64("tree", "level", "key")
-    settled = shared.where(F.col("size") <= REGION).select(F.xxhash64("tree", F.lit(0), "key").alias("region"), "rep")
+    settled = shared.where(F.col("size") <= REGION).select(F.xxhash64("tree", F.lit(0), "key").alias("region"), "rep", "size")
     crowded = shared.where(F.col("size") > REGION).join(reps, "rep").select("tree", "rep", "sig")
     levels = stage(crowded.mapInArrow(_deep, "tree int, level int, key long, rep long"), "levels")
     sizes = levels.groupBy("tree", "level", "key").agg(F.count("*").alias("size"), F.min("rep").alias("first"))
     sized = levels.join(sizes, ["tree", "level", "key"])
     fits = F.when((F.col("size") <= REGION) | (F.col("level") == len(DEPTHS) - 1), F.struct("level", "key", "size", "first"))
-    chosen = sized.groupBy("tree", "rep").agg(F.min(fits).alias("at")).select("tree", "rep", "at.*")
-    chosen = stage(chosen, "chosen")
-    told = chosen.where((F.col("size") > 1) & (F.col("size") <= REGION)).select(region.alias("region"), "rep")
+    chosen = stage(sized.groupBy("tree", "rep").agg(F.min(fits).alias("at")).select("tree", "rep", "at.*"), "chosen")
+    told = chosen.where((F.col("size") > 1) & (F.col("size") <= REGION)).select(region.alias("region"), "rep", "size")
     star = chosen.where((F.col("size") > REGION) & (F.col("rep") != F.col("first"))).select(
         F.col("first").alias("a"), F.col("rep").alias("b"),
         F.xxhash64("tree", "level", "key", F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / REGION))).alias("region"),
     )
 
-    members = settled.unionByName(told).join(reps, "rep").select("region", "rep", "sig")
-    pairs = members.repartition("region").sortWithinPartitions("region").mapInArrow(_neighbours(percent / 100 - 0.16), "a long, b long, region long")
-    pairs = stage(pairs.unionByName(star).groupBy("a", "b").agg(F.min("region").alias("region")), "pairs")
+    def candidates(members: DataFrame, most: int) -> DataFrame:
+        rows = members.join(reps, "rep").select("region", "rep", "group", "sig")
+        return rows.repartition("region").sortWithinPartitions("region").mapInArrow(_neighbours(percent / 100 - 0.16, most), "a long, b long, region long")
 
-    asked = pairs.groupBy("region", F.col("a").alias("rep")).agg(F.collect_list("b").alias("partners"))
-    ends = pairs.select("region", F.col("b").alias("rep"), F.array().cast("array<long>").alias("partners"))
-    sides = asked.unionByName(ends).groupBy("region", "rep").agg(F.flatten(F.collect_list("partners")).alias("partners"))
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(wanted, "rep", "left_semi")
-    sets = texts.mapInArrow(_sets(width), "rep long, words binary")
-    met = sides.join(sets, "rep").select("region", "rep", "partners", "words")
-    links = met.repartition("region").sortWithinPartitions("region").mapInArrow(_confirm(percent), "a long, b long")
+    def once(pairs: DataFrame) -> DataFrame:
+        return pairs.groupBy("a", "b").agg(F.min("region").alias("region"))
+
+    members = settled.unionByName(told)
+    pairs = stage(once(candidates(members.withColumn("group", F.col("rep")), NEIGHBOURS).unionByName(star)), "pairs")
+    links = _links(docs, pairs, width, percent)
     found = components(links)
+    large = members.where(F.col("size") > NEIGHBOURS + 1).join(found, F.col("rep") == F.col("id"), "left")
+    large = large.select("region", "rep", F.coalesce("component", "rep").alias("group"))
+    more = stage(once(candidates(large, ACROSS)).join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "more-pairs")
+    if not more.isEmpty():
+        found = components(links.unionByName(_links(docs, more, width, percent)))
 
     named = classes.select("digest", "rep").join(found, F.col("rep") == F.col("id"), "left").select("digest", F.coalesce("component", "rep").alias("c"))
     out = signed.select("doc_id", "n", "digest").join(named, "digest", "left")
