@@ -127,6 +127,9 @@ def _neighbours(share: float, most: int):
             if len(t) > most + 1:
                 kth = np.partition(same, len(t) - most, axis=1)[:, len(t) - most]
                 near &= same >= kth[:, None]
+            _, at, sizes = np.unique(group, return_inverse=True, return_counts=True)
+            if sizes.max() > 1:  # the largest group is looked for by the others and need not look for them
+                near[at == np.argmax(sizes)] = False
             i, j = np.nonzero(np.triu(near | near.T))
             a_out += np.minimum(rep[i], rep[j]).tolist()
             b_out += np.maximum(rep[i], rep[j]).tolist()
