@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ._common import stage, table
 
 #: Words of the table that workers hold: the most frequent ones of the corpus, at most so many.
-TABLE_WORDS = 1 << 20
+TABLE_WORDS = 600_000
 #: Longer matches are merged by a heap in Python: the fold's time grows with the square of the length.
 FOLD_BYTES = 256
 _BUCKETS = 1 << 16
@@ -190,9 +190,10 @@ def _short(match: str) -> bool:
 
 
 class Table:
-    """Unit -> id bytes of the frequent units, pieces by id, and ranks; made once in a worker process."""
+    """Unit -> id bytes of the frequent units, pieces by id, and ranks; made once in a worker process that asks."""
 
-    _made: dict[str, tuple[dict[str, bytes], list[bytes], dict[bytes, int]]] = {}
+    _known: dict[str, dict[str, bytes]] = {}
+    _pieces: dict[str, list[bytes]] = {}
 
     def __init__(self, spark: SparkSession, ranks: dict[bytes, int], rows: pa.Table):
         ids = rows.column("ids").combine_chunks()
@@ -207,28 +208,37 @@ class Table:
         self.name = uuid.uuid4().hex
         self.data = spark.sparkContext.broadcast((sink.getvalue().to_pybytes(), ranks))
 
-    def get(self) -> tuple[dict[str, bytes], list[bytes], dict[bytes, int]]:
-        made = Table._made
-        if self.name not in made:
-            made.clear()
-            raw, ranks = self.data.value
-            known: dict[str, bytes] = {}
-            for batch in pa.ipc.open_stream(raw):
+    def known(self) -> dict[str, bytes]:
+        """Unit -> id bytes."""
+        if self.name not in Table._known:
+            Table._known.clear()
+            found: dict[str, bytes] = {}
+            for batch in pa.ipc.open_stream(self.data.value[0]):
                 for at in range(0, len(batch), 65536):
                     part = batch.slice(at, 65536)
-                    known.update(zip(part.column("unit").to_pylist(), part.column("ids").to_pylist()))
-            pieces = [b""] * (max(ranks.values(), default=-1) + 1)
-            for piece, rank in ranks.items():
+                    found.update(zip(part.column("unit").to_pylist(), part.column("ids").to_pylist()))
+            Table._known[self.name] = found
+        return Table._known[self.name]
+
+    def ranks(self) -> dict[bytes, int]:
+        return self.data.value[1]
+
+    def pieces(self) -> list[bytes]:
+        """Pieces by id; what decodes needs no more of the table."""
+        if self.name not in Table._pieces:
+            Table._pieces.clear()
+            pieces = [b""] * (max(self.ranks().values(), default=-1) + 1)
+            for piece, rank in self.ranks().items():
                 pieces[rank] = piece
-            made[self.name] = known, pieces, ranks
-        return made[self.name]
+            Table._pieces[self.name] = pieces
+        return Table._pieces[self.name]
 
 
 def _look_up(words: Table, pattern: str):
     """Ids of a document's frequent units, and where which of its other matches belong."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, _, ranks = words.get()
+        known, ranks = words.known(), words.ranks()
         find = regex.compile(pattern).findall
         for batch in batches:
             cols: list[list] = [[] for _ in range(4)]
@@ -261,7 +271,7 @@ def _finish(words: Table):
     """Put the folded matches into their places; decode by concatenating the pieces of all ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, pieces, _ = words.get()
+        pieces = words.pieces()
         for batch in batches:
             out = []
             for ids, at, which, codes in zip(*(batch.column(c).to_pylist() for c in ("ids", "at", "which", "codes"))):
