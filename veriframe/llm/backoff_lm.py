@@ -16,19 +16,36 @@ from .shingles import mix, word_hashes, words
 
 ALPHA = 0.4
 #: Words of a block of documents, the unit in which n-grams are exploded, counted once and looked up.
-BLOCK_WORDS = 1 << 20
+BLOCK_WORDS = 3 << 19
 #: Distinct n-grams (of blocks) that a bucket of the count tables holds on average.
 BUCKET_ENTRIES = 1 << 21
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
+def number_words(flat: np.ndarray) -> tuple[np.ndarray, bytes]:
+    """(vocabulary by falling count, packed place of every word in it).
+
+    Frequent words get small numbers; the bytes of the numbers are laid out plane by plane and compressed.
+    """
+    vocabulary, at, n = np.unique(flat, return_inverse=True, return_counts=True)
+    order = np.argsort(-n, kind="stable")
+    rank = np.empty(len(order), "<u4")
+    rank[order] = np.arange(len(order), dtype="<u4")
+    planes = rank[at].view(np.uint8).reshape(-1, 4).T.tobytes()
+    return vocabulary[order], pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def unpack_numbers(packed: bytes, n: int) -> np.ndarray:
+    planes = pa.decompress(packed, decompressed_size=4 * n, codec="zstd", asbytes=True)
+    return np.frombuffer(planes, np.uint8).reshape(4, n).T.copy().view("<u4").ravel()
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents as words numbered within their block: (block, ids, sizes, vocabulary, numbers)."""
 
     def out() -> pa.RecordBatch:
         flat = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-        vocabulary, numbers = np.unique(flat, return_inverse=True)
-        numbers = numbers.astype("<u4").tobytes()
+        vocabulary, numbers = number_words(flat)
         seen = xxhash.xxh3_64_intdigest(repr((ids, part)).encode() + numbers) >> 1
         return pa.RecordBatch.from_arrays(
             [pa.array([seen], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([[len(h) for h in hashes]], pa.list_(pa.int32())),
@@ -83,7 +100,8 @@ def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def _grams(row: dict) -> Grams:
-    return Grams(np.array(row["sizes"], np.int64), np.frombuffer(row["vocabulary"], np.uint64), np.frombuffer(row["numbers"], "<u4"))
+    sizes = np.array(row["sizes"], np.int64)
+    return Grams(sizes, np.frombuffer(row["vocabulary"], np.uint64), unpack_numbers(row["numbers"], int(sizes.sum())))
 
 
 def _explode(buckets: int):
