@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import stage, table
+from ._common import bounded_batches, stage, table
 
 #: Words of the table that workers hold: the most frequent ones of the corpus, at most so many.
 TABLE_WORDS = 600_000
@@ -298,6 +298,7 @@ def encode_texts(docs: DataFrame, ranks: dict[bytes, int], pattern: str, most: i
     the distinct other matches of each document where it stands, so no text is shuffled. Only
     matches of more than FOLD_BYTES bytes are merged in Python.
     """
+    bounded_batches(docs.sparkSession, 4)
     pattern = plain_pattern(pattern)
 
     def matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
