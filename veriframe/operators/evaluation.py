@@ -13,7 +13,7 @@ def confusion(pairs: DataFrame) -> DataFrame:
 
 def confusion_matrix(pairs: DataFrame, labels: list[str]) -> DataFrame:
     """A row for each expected label with a count column for each predicted one."""
-    return pairs.groupBy("expected").pivot("predicted", labels).agg(F.count("*")).na.fill(0)
+    return pairs.groupBy("expected").pivot("predicted", labels).agg(F.count(F.lit(1))).na.fill(0)
 
 
 def per_label(pairs: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree as ET
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -143,36 +143,29 @@ def workbook_rows(file: str, data: bytes, list_only: bool = False) -> list[dict]
         return [{"file": file, "kind": "error", "error": f"{type(e).__name__}: {e}"}]
 
 
-def _frame(rows: list[dict]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=list(COLUMNS))
-    for c in ("sheet_no", "r", "c", "indent", "r2", "c2"):
-        out[c] = out[c].astype("Int32")
-    out["v_ts"] = pd.to_datetime(out["v_ts"])
-    return out
+_TYPES = {"string": pa.string(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "timestamp_ntz": pa.timestamp("us")}
+_ARROW = pa.schema([(n, _TYPES[t]) for n, t in (f.split() for f in SCHEMA.split(", "))])
+
+
+def _parser(list_only: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
+                yield pa.RecordBatch.from_pylist([{n: r.get(n) for n in COLUMNS} for r in workbook_rows(name, data, list_only)], _ARROW)
+
+    return run
 
 
 def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
     """All cells, merges and error rows of the workbooks under path (schema SCHEMA)."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for name, data in zip(f["path"], f["content"]):
-                yield _frame(workbook_rows(name, bytes(data)))
-
-    return files.mapInPandas(run, SCHEMA)
+    return files.mapInArrow(_parser(False), SCHEMA)
 
 
 def list_sheets(spark: SparkSession, path: str) -> DataFrame:
     """(file, sheet, sheet_no, error) of the workbooks under path; only names are read."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for name, data in zip(f["path"], f["content"]):
-                yield _frame(workbook_rows(name, bytes(data), True))
-
-    return files.mapInPandas(run, SCHEMA).select("file", "sheet", "sheet_no", "error").distinct()
+    return files.mapInArrow(_parser(True), SCHEMA).select("file", "sheet", "sheet_no", "error").distinct()
 
 
 def cells_from_rows(spark: SparkSession, grids: list[tuple[str, str, list[list]]]) -> DataFrame:
