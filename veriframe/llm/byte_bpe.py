@@ -8,6 +8,7 @@ import heapq
 import json
 import uuid
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -20,8 +21,11 @@ from pyspark.sql import functions as F
 from ._common import bounded_batches, stage, table
 
 #: Words of the table that workers hold: the most frequent ones of the corpus, at most so many.
-TABLE_WORDS = 600_000
-#: Longer matches are merged by a heap in Python: the fold's time grows with the square of the length.
+TABLE_WORDS = 400_000
+#: Other words that a worker remembers.
+TAIL_WORDS = 200_000
+_NONE = 1 << 40
+#: Longer matches are merged by a heap: the fold's time grows with the square of the length.
 FOLD_BYTES = 256
 _BUCKETS = 1 << 16
 
@@ -102,12 +106,26 @@ def plain_pattern(pattern: str) -> str:
     return pattern.replace("[^\\s", f"[^{_WS}").replace("\\s", f"[{_WS}]").replace("\\S", f"[^{_WS}]")
 
 
-def merge_long(match: bytes, ranks: dict[bytes, int]) -> bytes:
-    """Ids (little-endian) of one long match, merged with a heap of adjacent pairs."""
+def merge(match: bytes, ranks: dict[bytes, int]) -> bytes:
+    """Ids (little-endian) of one match, merged with a heap of adjacent pairs: n log n steps however long it is."""
     if match in ranks:
         return np.array([ranks[match]], "<u4").tobytes()
-    parts = [bytes([c]) for c in match]
+    parts: list[bytes] = [match[i : i + 1] for i in range(len(match))]
     n = len(parts)
+    if n <= FOLD_BYTES:
+        at = [ranks.get(match[i : i + 2], _NONE) for i in range(n - 1)]
+        while at:
+            low = min(at)
+            if low == _NONE:
+                break
+            i = at.index(low)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del at[i]
+            if i < len(at):
+                at[i] = ranks.get(parts[i] + parts[i + 1], _NONE)
+            if i:
+                at[i - 1] = ranks.get(parts[i - 1] + parts[i], _NONE)
+        return array("I", [ranks[p] for p in parts]).tobytes()
     after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
     heap: list[tuple[int, int, int, int]] = []
 
@@ -129,7 +147,7 @@ def merge_long(match: bytes, ranks: dict[bytes, int]) -> bytes:
             offer(i)
             if before[i] >= 0:
                 offer(before[i])
-    return np.array([ranks[parts[i]] for i in range(n) if alive[i]], "<u4").tobytes()
+    return array("I", [ranks[parts[i]] for i in range(n) if alive[i]]).tobytes()
 
 
 _SPACES = regex.compile(f"[{_WS}]*[^{_WS}]+|[{_WS}]+")
@@ -234,71 +252,57 @@ class Table:
         return Table._pieces[self.name]
 
 
-def _look_up(words: Table, pattern: str):
-    """Ids of a document's frequent units, and where which of its other matches belong."""
+class Encoder:
+    """Ids of whole texts: frequent units from the table, the long tail merged by the same ranks and remembered."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, ranks = words.known(), words.ranks()
-        find = regex.compile(pattern).findall
-        for batch in batches:
-            cols: list[list] = [[] for _ in range(4)]
-            for text in batch.column("text"):
-                parts = units(text.as_py() or "")
-                got = list(map(known.get, parts))
-                at, which, rare = [], [], {}
-                if None in got:
-                    done = 0
-                    for i, code in enumerate(got):
-                        if code is None:
-                            code = b""
-                            for m in find(parts[i]):
-                                if _short(m):
-                                    at.append(done + len(code))
-                                    which.append(rare.setdefault(m, len(rare)))
-                                else:
-                                    code += merge_long(m.encode(), ranks)
-                            got[i] = code
-                        done += len(code)
-                for col, x in zip(cols, (b"".join(got), at, which, list(rare))):
-                    col.append(x)
-            kinds = (pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, kinds))], ["doc_id", "ids", "at", "which", "rare"])
-
-    return run
-
-
-def _finish(words: Table):
-    """Put the folded matches into their places; decode by concatenating the pieces of all ids."""
+    def __init__(self, words: Table, pattern: str):
+        self.words, self.pattern, self.tail = words, pattern, None
+
+    def __getstate__(self):
+        return {"words": self.words, "pattern": self.pattern, "tail": None}
+
+    def encode(self, text: str) -> bytes:
+        """Ids as little-endian unsigned 32-bit integers."""
+        if self.tail is None:
+            self.tail, self.find = {}, regex.compile(self.pattern).findall
+        parts = units(text)
+        got = list(map(self.words.known().get, parts))
+        if None in got:
+            tail, ranks = self.tail, self.words.ranks()
+            if len(tail) > TAIL_WORDS:
+                tail.clear()
+            for i in [i for i, code in enumerate(got) if code is None]:
+                unit = parts[i]
+                code = tail.get(unit)
+                if code is None:
+                    code = tail[unit] = b"".join([merge(m.encode(), ranks) for m in self.find(unit)])
+                got[i] = code
+        return b"".join(got)
+
+    def decode(self, ids: bytes) -> bytes:
+        """The pieces of the ids, one after another."""
+        return b"".join(map(self.words.pieces().__getitem__, array("I", ids)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = words.pieces()
-        for batch in batches:
-            out = []
-            for ids, at, which, codes in zip(*(batch.column(c).to_pylist() for c in ("ids", "at", "which", "codes"))):
-                if at:
-                    codes = [np.array(c, "<u4").tobytes() for c in codes]
-                    parts, last = [], 0
-                    for a, w in zip(at, which):
-                        parts += (ids[last:a], codes[w])
-                        last = a
-                    ids = b"".join([*parts, ids[last:]])
-                text = b"".join(map(pieces.__getitem__, np.frombuffer(ids, "<u4").tolist()))
-                out.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text).hexdigest()))
-            n, a, b = zip(*out) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return run
+_ENCODERS: dict[str, Encoder] = {}
 
 
-def encode_texts(docs: DataFrame, ranks: dict[bytes, int], pattern: str, most: int = TABLE_WORDS) -> tuple[DataFrame, Table]:
-    """(doc_id, ids, at, which, codes) of every row, and the table that decoding needs.
+def _worker(encoder: Encoder) -> Encoder:
+    """The encoder of this table in this worker process, with what it remembers."""
+    if encoder.words.name not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[encoder.words.name] = encoder
+    return _ENCODERS[encoder.words.name]
 
-    The merges are folded in the JVM: once over the distinct frequent units of the whole corpus,
-    whose ids are then looked up (a table of at most `most` units, whatever the corpus), and over
-    the distinct other matches of each document where it stands, so no text is shuffled. Only
-    matches of more than FOLD_BYTES bytes are merged in Python.
+
+def make_encoder(docs: DataFrame, ranks: dict[bytes, int], pattern: str, most: int = TABLE_WORDS) -> Encoder:
+    """An encoder for the corpus docs.
+
+    The merges of its frequent units, at most `most` whatever its size, are folded in the JVM over
+    distinct units; the table of their ids goes to the workers by broadcast. The other units, a few
+    hundredths of a text, are merged by the workers, as are matches of over FOLD_BYTES bytes: a fold costs some 50
+    microseconds a word, and the tail's words would have to be folded anew for every document.
     """
-    bounded_batches(docs.sparkSession, 4)
     pattern = plain_pattern(pattern)
 
     def matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,22 +311,44 @@ def encode_texts(docs: DataFrame, ranks: dict[bytes, int], pattern: str, most: i
             rows = [(u, found) for u in batch.column("unit").to_pylist() if all(map(_short, found := find(u)))]
             yield pa.RecordBatch.from_pydict({"unit": pa.array([u for u, _ in rows], pa.string()), "m": pa.array([m for _, m in rows], pa.list_(pa.string()))})
 
-    units_of = frequent_units(docs, most).select("unit").repartition(docs.sparkSession.sparkContext.defaultParallelism * 2)
+    spark = docs.sparkSession
+    units_of = frequent_units(docs, most).select("unit").repartition(spark.sparkContext.defaultParallelism * 2)
     coded = units_of.mapInArrow(matches, "unit string, m array<string>").select("unit", encode_matches(F.col("m"), ranks).alias("ids"))
-    words = Table(docs.sparkSession, ranks, coded.toArrow())
-    parts = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_look_up(words, pattern), "doc_id long, ids binary, at array<int>, which array<int>, rare array<string>")
-    each = _let(rank_table(ranks), lambda t: F.transform("rare", lambda m: encode_match(m, t)))
-    return parts.select("doc_id", "ids", "at", "which", F.when(F.size("rare") > 0, each).otherwise(F.array().cast("array<array<int>>")).alias("codes")), words
+    return Encoder(Table(spark, ranks, coded.toArrow()), pattern)
+
+
+def encode_texts(docs: DataFrame, encoder: Encoder) -> DataFrame:
+    """(doc_id, ids) of every row; one scan, no shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        e = _worker(encoder)
+        for batch in batches:
+            ids = [array("I", e.encode(t.as_py() or "")).tolist() for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str, most: int = TABLE_WORDS) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row: whole texts encoded and decoded.
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row: whole texts encoded, the ids decoded.
 
     Null and empty texts have no ids. Repeated rows are encoded alike; an empty table gives an empty
     result. Only doc_id and text are read.
     """
-    parts, words = encode_texts(docs, ranks, pattern, most)
-    return parts.mapInArrow(_finish(words), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    bounded_batches(docs.sparkSession, 4)
+    encoder = make_encoder(docs, ranks, pattern, most)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        e = _worker(encoder)
+        for batch in batches:
+            out = []
+            for text in batch.column("text"):
+                ids = e.encode(text.as_py() or "")
+                out.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(e.decode(ids)).hexdigest()))
+            n, a, b = zip(*out) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
