@@ -1,14 +1,583 @@
-"""Registered queries of the claim-verification operators and their oracle SQL."""
+"""Registered queries of the claim-verification operators and their oracle SQL.
+
+Most run over a table derived from the star schema: order totals by nation and month, read as a
+statistical table whose rows are nations. Sums are exact decimals, so both engines agree to the last digit.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import units
+from .functions.periods import MONTHS, month_abbreviation, parse_period
+from .functions.text import indonesian_number, locate_anchor, normalise_ws
+from .operators import evaluation, grids, ingest, lookup, narrative, sqlcheck, typo
+from .plans import verify
+from .streaming import claims as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def ENTRY(spark: SparkSession, sf_dir: str) -> DataFrame:  # noqa: N802
-    return spark.read.parquet(f"{sf_dir}/nation.parquet")
+def query(oracle: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+# -- the statistical table ---------------------------------------------------------------------
+
+M = """m AS (
+  SELECT n_nationkey AS k, n_name AS label, n_regionkey AS g, CAST(year(o_orderdate) AS INTEGER) AS y, CAST(month(o_orderdate) AS INTEGER) AS mo,
+         CAST(sum(CAST(o_totalprice AS DECIMAL(18, 2))) AS DOUBLE) AS v
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2, 3, 4, 5)"""
+ABBR = "list_extract(['Jan','Feb','Mar','Apr','May','Jun','Jul','Aug','Sep','Oct','Nov','Dec'], mo)"
+DELTA = "round(abs(claimed - computed), 4)"
+VERDICT = f"CASE WHEN computed IS NULL THEN 'Inconclusive' WHEN {DELTA} <= 0.05 THEN 'Entailed' ELSE 'Refuted' END"
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(k, label, g, y, mo, v): order totals by nation and month."""
+    o, c, n = (read(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
+    joined = o.join(c, F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    total = F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double")
+    return joined.groupBy(
+        F.col("n_nationkey").alias("k"), F.col("n_name").alias("label"), F.col("n_regionkey").alias("g"), F.year("o_orderdate").alias("y"), F.month("o_orderdate").alias("mo")
+    ).agg(total.alias("v"))
+
+
+def as_table(m: DataFrame, unit: str = "Rp", source: int = 0, title: str = "Penjualan menurut negara") -> verify.Tables:
+    meta = m.sparkSession.createDataFrame([(source, "orders", "s", title, unit, "temporal", "bi")], "source_ord int, file string, sheet string, title string, unit string, axis_type string, parser string")
+    data = m.select(
+        F.lit(source).alias("source_ord"), F.col("k").alias("row_ord"), F.col("label").alias("row_label"), F.col("y").alias("year"), month_abbreviation(F.col("mo")).alias("month"),
+        F.lit(None).cast("int").alias("col_ord"), F.lit(None).cast("string").alias("col_label"), F.col("v").alias("value"),
+    )
+    return verify.Tables(meta, data)
+
+
+def point(i: int, label, year, month, col=None):
+    null = F.lit(None).cast("string")
+    return F.struct(F.lit(i).alias("ord"), label.alias("metric_label"), year.cast("int").alias("year"), month.alias("month"), (col if col is not None else null).alias("col_label"))
+
+
+def facts(rows: DataFrame, operation: str, claimed, unit: str | None, *points) -> DataFrame:
+    """Facts from rows with fact_ord."""
+    return rows.select(
+        F.col("fact_ord").cast("long").alias("fact_ord"), F.lit(operation).alias("operation"), claimed.cast("double").alias("claimed_value"), F.lit(unit).cast("string").alias("unit"),
+        F.lit("").alias("context_quote"), F.lit(1).alias("page_number"), F.array(*points).alias("periods"),
+    )
+
+
+def judged(spark: SparkSession, sf_dir: str, operation: str, claimed, unit: str | None, months: tuple[int, ...], cols=("fact_ord", "computed", "delta", "verdict")) -> DataFrame:
+    m = monthly(spark, sf_dir)
+    if months == (0,):
+        rows = m.withColumn("fact_ord", F.col("k") * 1000000 + F.col("y") * 100 + F.col("mo"))
+        points = [point(0, F.col("label"), F.col("y"), month_abbreviation(F.col("mo")))]
+    else:
+        rows = m.select("k", "label", "y").distinct().withColumn("fact_ord", F.col("k") * 1000000 + F.col("y") * 100)
+        points = [point(i, F.col("label"), F.col("y"), F.lit(MONTHS[x - 1])) for i, x in enumerate(months)]
+    return verify.verify_facts(as_table(m), facts(rows, operation, claimed, unit, *points)).select(*cols)
+
+
+def _single(computed: str, claimed: str, extra: str = "") -> str:
+    return f"WITH {M}, x AS (SELECT CAST(a.k * 1000000 + a.y * 100 + a.mo AS BIGINT) AS fact_ord, {computed} AS computed, {claimed} AS claimed FROM m a {extra}) SELECT fact_ord, computed, CASE WHEN computed IS NOT NULL THEN {DELTA} END AS delta, {VERDICT} AS verdict FROM x"
+
+
+def _quarter(computed: str, claimed: str) -> str:
+    return f"""WITH {M}, q AS (SELECT k, y, max(CASE WHEN mo = 1 THEN v END) AS a, max(CASE WHEN mo = 2 THEN v END) AS b, max(CASE WHEN mo = 3 THEN v END) AS c FROM m GROUP BY k, y),
+x AS (SELECT CAST(k * 1000000 + y * 100 AS BIGINT) AS fact_ord, {computed} AS computed, {claimed} AS claimed FROM q)
+SELECT fact_ord, computed, CASE WHEN computed IS NOT NULL THEN {DELTA} END AS delta, {VERDICT} AS verdict FROM x"""
+
+
+def _trend(holds: str) -> str:
+    return f"""WITH {M}, q AS (SELECT k, y, max(CASE WHEN mo = 1 THEN v END) AS a, max(CASE WHEN mo = 2 THEN v END) AS b, max(CASE WHEN mo = 3 THEN v END) AS c FROM m GROUP BY k, y)
+SELECT CAST(k * 1000000 + y * 100 AS BIGINT) AS fact_ord, CASE WHEN a IS NULL OR b IS NULL OR c IS NULL THEN 'Inconclusive' WHEN {holds} THEN 'Entailed' ELSE 'Refuted' END AS verdict FROM q"""
+
+
+CLAIM = F.round(F.col("v") * (1 + ((F.col("k") + F.col("mo")) % 3 - 1) * 0.01), 1)
+
+
+@query(_single("round(v, 4)", "round(v * (1 + ((k + mo) % 3 - 1) * 0.01), 1)"))
+def claim_value(spark, sf_dir):
+    return judged(spark, sf_dir, "value", CLAIM, "Rp", (0,))
+
+
+@query(_single("round((a.v - p.v) / nullif(abs(p.v), 0) * 100, 4)", "CAST((a.k + a.mo) % 7 AS DOUBLE)", "LEFT JOIN m p ON p.k = a.k AND p.y = a.y - 1 AND p.mo = a.mo"))
+def claim_yoy_growth(spark, sf_dir):
+    return judged(spark, sf_dir, "yoy_growth", (F.col("k") + F.col("mo")) % 7, "persen_yoy", (0,))
+
+
+@query(_quarter("round((a + b + c) / 3, 4)", "CAST(k * 1000 AS DOUBLE)"))
+def claim_average(spark, sf_dir):
+    return judged(spark, sf_dir, "average", F.col("k") * 1000, "Rp", (1, 2, 3))
+
+
+@query(_quarter("round(a + b + c, 4)", "CAST(k * 1000 AS DOUBLE)"))
+def claim_sum(spark, sf_dir):
+    return judged(spark, sf_dir, "sum", F.col("k") * 1000, "Rp", (1, 2, 3))
+
+
+@query(_quarter("CASE WHEN b IS NOT NULL THEN round(c - a, 4) END", "CAST(k * 1000 AS DOUBLE)"))
+def claim_diff(spark, sf_dir):
+    return judged(spark, sf_dir, "diff", F.col("k") * 1000, "Rp", (1, 2, 3))
+
+
+@query(_quarter("round(a / nullif(b, 0) * 100, 4)", "CAST(100 + k AS DOUBLE)"))
+def claim_ratio(spark, sf_dir):
+    return judged(spark, sf_dir, "ratio", 100 + F.col("k"), "persen", (1, 2))
+
+
+@query(_trend("b >= a AND c >= b"))
+def claim_is_increasing(spark, sf_dir):
+    return judged(spark, sf_dir, "is_increasing", F.lit(None), None, (1, 2, 3), ("fact_ord", "verdict"))
+
+
+@query(_trend("b <= a AND c <= b"))
+def claim_is_decreasing(spark, sf_dir):
+    return judged(spark, sf_dir, "is_decreasing", F.lit(None), None, (1, 2, 3), ("fact_ord", "verdict"))
+
+
+@query(_trend("abs(b - a) <= 0.05 AND abs(c - b) <= 0.05"))
+def claim_is_stable(spark, sf_dir):
+    return judged(spark, sf_dir, "is_stable", F.lit(None), None, (1, 2, 3), ("fact_ord", "verdict"))
+
+
+@query(f"WITH s AS ({_single('round(v, 4)', 'round(v * (1 + ((k + mo) % 3 - 1) * 0.01), 1)')}) SELECT count(*) FILTER (WHERE verdict = 'Entailed') AS entailed, count(*) FILTER (WHERE verdict = 'Refuted') AS refuted, count(*) FILTER (WHERE verdict = 'Inconclusive') AS inconclusive, count(*) FILTER (WHERE verdict = 'Error') AS error, count(*) AS total FROM s")
+def verdict_summary(spark, sf_dir):
+    return verify.verdict_counts(claim_value(spark, sf_dir))
+
+
+@query(f"WITH {M} SELECT CAST(k * 1000000 + y * 100 + mo AS BIGINT) AS fact_ord, CASE WHEN mo % 2 = 0 THEN 1 ELSE 2 END AS source_ord, 'Entailed' AS verdict FROM m")
+def source_priority(spark, sf_dir):
+    """Three sources: another currency, even months only, all months; the first that fits decides."""
+    m = monthly(spark, sf_dir)
+    parts = [as_table(m, "juta USD", 0), as_table(m.where("mo % 2 = 0"), "Rp", 1), as_table(m, "Rp", 2)]
+    both = verify.Tables(*[a.unionByName(b).unionByName(c) for a, b, c in ((parts[0].meta, parts[1].meta, parts[2].meta), (parts[0].data, parts[1].data, parts[2].data))])
+    rows = m.withColumn("fact_ord", F.col("k") * 1000000 + F.col("y") * 100 + F.col("mo"))
+    f = facts(rows, "value", F.round("v", 4), "Rp", point(0, F.col("label"), F.col("y"), month_abbreviation(F.col("mo"))))
+    return verify.verify_facts(both, f).select("fact_ord", "source_ord", "verdict")
+
+
+@query(f"WITH {M} SELECT CAST(min(k * 1000000 + y * 100 + mo) AS BIGINT) AS fact_ord FROM m GROUP BY k, y")
+def fact_dedup(spark, sf_dir):
+    rows = monthly(spark, sf_dir).withColumn("fact_ord", F.col("k") * 1000000 + F.col("y") * 100 + F.col("mo"))
+    return verify.dedup_facts(facts(rows, "sum", F.col("v"), "Rp", point(0, F.col("label"), F.col("y"), F.lit("Jan")))).select("fact_ord")
+
+
+@query("SELECT CAST(n_nationkey AS BIGINT) AS fact_ord, 'Inconclusive' AS verdict, 'gate' AS reason FROM nation")
+def temporal_gate(spark, sf_dir):
+    m = monthly(spark, sf_dir)
+    rows = read(spark, sf_dir, "nation").withColumn("fact_ord", F.col("n_nationkey"))
+    f = facts(rows, "is_increasing", F.lit(None), None, point(0, F.col("n_name"), F.lit(None), F.lit(None).cast("string"), F.lit("Harga")))
+    return verify.verify_facts(as_table(m), f).select("fact_ord", "verdict", "reason")
+
+
+@query(f"WITH {M} SELECT DISTINCT 'x ' || label AS metric, CAST(1 AS BIGINT) AS n FROM m")
+def missing_diagnostics(spark, sf_dir):
+    m = monthly(spark, sf_dir)
+    rows = m.select("k", "label").distinct().withColumn("fact_ord", F.col("k"))
+    f = facts(rows, "value", F.lit(1.0), "Rp", point(0, F.concat(F.lit("x "), "label"), F.lit(1800), F.lit("Jan")))
+    return verify.missing_points(as_table(m), f).select(F.element_at("missing", 1)["metric_label"].alias("metric"), F.size("missing").cast("long").alias("n"))
+
+
+@query("""SELECT * FROM (VALUES ('Posisi Simpanan Masyarakat / DPK (mis. TABEL1_19 — SEKI Tabel 1.19)', 'Posisi DPK'),
+('Posisi Kredit Bank Umum & BPR (SEKI Tabel 1.5 dst — KMK/KI/KK per jenis penggunaan)', 'Kredit UMKM|Debitur baru'),
+('Uang Primer / M0 (SEKI Tabel 1.2)', 'M0 adjusted')) t(family, metrics)""")
+def table_suggestions(spark, sf_dir):
+    rows = [(0, "Kredit UMKM", "Inconclusive", None), (1, "Posisi DPK", "Inconclusive", None), (2, "Kredit UMKM", "Inconclusive", None), (3, "M0 adjusted", "Inconclusive", None),
+            (4, "Debitur baru", "Inconclusive", None), (5, "Kredit lain", "Refuted", None), (6, "Kredit x", "Inconclusive", "f / s")]
+    df = spark.createDataFrame(rows, "fact_ord long, metric_label string, verdict string, matched_source string")
+    return verify.table_suggestions(df).select("family", F.array_join("metrics", "|").alias("metrics"))
+
+
+# -- fuzzy look-ups ----------------------------------------------------------------------------
+
+SIG = "len(list_intersect(list_filter(regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{M}}\\p{{N}}_]+'), lambda w: len(w) > 2), list_filter(regexp_extract_all(lower({1}), '[\\p{{L}}\\p{{M}}\\p{{N}}_]+'), lambda w: len(w) > 2)))"
+TIERS = f"""
+ q AS (SELECT DISTINCT q FROM (SELECT lower(p_type) AS q FROM part UNION ALL SELECT split_part(p_name, ' ', 1) FROM part UNION ALL SELECT lower(n_name) || ' wilayah' FROM nation UNION ALL SELECT r_name FROM region)),
+ l AS (SELECT DISTINCT label FROM (SELECT p_type AS label FROM part UNION ALL SELECT n_name FROM nation UNION ALL SELECT r_name || ' > ' || n_name FROM nation JOIN region ON n_regionkey = r_regionkey)),
+ c AS (
+  SELECT q, label, 1 AS tier, 0 AS k1, 0 AS k2 FROM q, l WHERE lower(trim(label)) = lower(trim(q))
+  UNION ALL SELECT q, label, 2, CAST(length(label) AS INTEGER), 0 FROM q, l WHERE contains(lower(label), lower(trim(q)))
+  UNION ALL SELECT q, label, 3, -CAST({SIG.format('label', 'q')} AS INTEGER), -CAST(length(trim(lower(split_part(label, ' > ', -1)))) AS INTEGER) FROM q, l WHERE contains(label, ' > ') AND contains(lower(trim(q)), trim(lower(split_part(label, ' > ', -1))))
+  UNION ALL SELECT q, label, 4, -CAST(length(label) AS INTEGER), 0 FROM q, l WHERE contains(lower(trim(q)), lower(trim(label))))
+"""
+
+
+def _names(spark, sf_dir):
+    part, nation, region = (read(spark, sf_dir, t) for t in ("part", "nation", "region"))
+    q = part.select(F.lower("p_type").alias("q")).unionByName(part.select(F.element_at(F.split("p_name", " "), 1).alias("q")))
+    q = q.unionByName(nation.select(F.concat(F.lower("n_name"), F.lit(" wilayah")).alias("q"))).unionByName(region.select(F.col("r_name").alias("q"))).distinct()
+    inner = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.concat("r_name", F.lit(" > "), "n_name").alias("label"))
+    lab = part.select(F.col("p_type").alias("label")).unionByName(nation.select(F.col("n_name").alias("label"))).unionByName(inner).distinct()
+    return q, lab
+
+
+@query(f"WITH {TIERS} SELECT q, label, min(tier) AS tier FROM c GROUP BY q, label")
+def fuzzy_tiers(spark, sf_dir):
+    return lookup.match_tiers(*_names(spark, sf_dir)).select("q", "label", "tier")
+
+
+@query(f"WITH {TIERS} SELECT q, arg_min(label, row(tier, k1, k2, label)) AS label FROM c GROUP BY q")
+def fuzzy_best(spark, sf_dir):
+    t = lookup.match_tiers(*_names(spark, sf_dir))
+    return t.groupBy("q").agg(F.min_by("label", F.struct("tier", "k1", "k2", "label")).alias("label"))
+
+
+@query(f"WITH {M}, t AS (SELECT DISTINCT label, y, mo, v FROM m) SELECT lower(label) || ' total' AS q, y AS year, {ABBR} AS month, label AS matched_label, v AS value FROM t WHERE label <> 'INDONESIA' OR true")
+def fuzzy_temporal(spark, sf_dir):
+    m = monthly(spark, sf_dir)
+    t = as_table(m)
+    q = m.select(F.concat(F.lower("label"), F.lit(" total")).alias("q"), F.col("y").alias("year"), month_abbreviation(F.col("mo")).alias("month"))
+    return lookup.resolve_temporal(q, t.meta, t.data).select("q", "year", "month", "matched_label", "value")
+
+
+@query(f"WITH {M}, t AS (SELECT y, mo, CAST(sum(CAST(v AS DECIMAL(18, 2))) AS DOUBLE) AS value FROM m GROUP BY y, mo) SELECT 'Penghimpunan DPK' AS q, y AS year, {ABBR} AS month, 'Jumlah' AS matched_label, value FROM t")
+def fuzzy_total_fallback(spark, sf_dir):
+    m = monthly(spark, sf_dir).groupBy("y", "mo").agg(F.sum(F.col("v").cast("decimal(18,2)")).cast("double").alias("v")).withColumns({"k": F.lit(0), "label": F.lit("Jumlah")})
+    t = as_table(m, title="Posisi Simpanan Masyarakat")
+    q = m.select(F.lit("Penghimpunan DPK").alias("q"), F.col("y").alias("year"), month_abbreviation(F.col("mo")).alias("month"))
+    return lookup.resolve_temporal(q, t.meta, t.data).select("q", "year", "month", "matched_label", "value")
+
+
+@query("SELECT lower(n_name) AS q, 'saldo' AS cq, n_name AS matched_label, 'Saldo (Rp)' AS matched_col, CAST(sum(CAST(c_acctbal AS DECIMAL(18, 2))) AS DOUBLE) AS value FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")
+def fuzzy_categorical(spark, sf_dir):
+    c, n = read(spark, sf_dir, "customer"), read(spark, sf_dir, "nation")
+    g = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_nationkey", "n_name").agg(F.sum(F.col("c_acctbal").cast("decimal(18,2)")).cast("double").alias("s"), F.count("*").cast("double").alias("n"))
+    data = g.select(F.lit(0).alias("source_ord"), F.col("n_nationkey").alias("row_ord"), F.col("n_name").alias("row_label"), F.lit(None).cast("int").alias("year"), F.lit(None).cast("string").alias("month"),
+                    F.inline(F.array(F.struct(F.lit(0).alias("col_ord"), F.lit("Saldo (Rp)").alias("col_label"), F.col("s").alias("value")), F.struct(F.lit(1).alias("col_ord"), F.lit("Pelanggan").alias("col_label"), F.col("n").alias("value")))))
+    return lookup.resolve_categorical(n.select(F.lower("n_name").alias("q"), F.lit("saldo").alias("cq")), data).select("q", "cq", "matched_label", "matched_col", "value")
+
+
+@query(f"WITH {M} SELECT DISTINCT lower(label) AS q, y AS year, {ABBR} AS month FROM m")
+def available_periods(spark, sf_dir):
+    m = monthly(spark, sf_dir)
+    t = as_table(m)
+    rows = t.data.select("source_ord", "row_ord", "row_label").distinct()
+    return lookup.available_periods(m.select(F.lower("label").alias("q")), t.meta, rows, t.data).select("q", "year", "month")
+
+
+# -- units, numbers, periods -------------------------------------------------------------------
+
+UNIT_PAIRS = [("triliun rp", "miliar rp", 1000.0), ("Miliar Rp", "miliar rp ", 1.0), ("ribu Rp", "miliar Rp", 1e-6), ("Rp", "juta Rp", 1e-6), ("juta Rp", "juta USD", None), ("persen", "persen", 1.0),
+              ("unit", "buah", None), ("miliar dolar AS", "juta USD", 1000.0), ("%", "juta Rp", None), ("triliun rupiah", "juta rp", 1e6), ("", "Rp", None)]
+NUMBERS = [("10.355,1", 10355.1), ("9,7", 9.7), ("-9,2", -9.2), ("100", 100.0), ("1.234", 1234.0), ("Rp10.355,1 triliun", 10355.1), ("(49,8)", -49.8), ("(1.234,5)", -1234.5), ("(49,8) triliun", -49.8),
+           ("(-49,8)", -49.8), ("(5,5%)", 5.5), ("(-5,5%)", -5.5), ("2 1,3", 21.3), ("8 ,9", 8.9), ("()", None), ("abc", None), ("1,2.3", None)]
+PERIODS = [("Apr 2026", 2026, "Apr"), ("April 2026", 2026, "Apr"), ("Apr-26", 2026, "Apr"), ("Apr''26", 2026, "Apr"), ("Des 2025", 2025, "Dec"), ("Mei 2026", 2026, "May"), ("2026 Apr", 2026, "Apr"),
+           ("2026M04", 2026, "Apr"), ("2026-04", 2026, "Apr"), ("04/2026", 2026, "Apr"), ("Total", None, None), ("2026", None, None), ("Q1 2026", None, None), ("Jan 85", None, None)]
+
+
+def _sql(v) -> str:
+    return "NULL" if v is None else f"'{v}'" if isinstance(v, str) else f"CAST({v!r} AS DOUBLE)" if isinstance(v, float) else str(v)
+
+
+def _values(rows, names: str) -> str:
+    return f"(VALUES {', '.join('(' + ', '.join(map(_sql, r)) + ')' for r in rows)}) t({names})"
+
+
+@query(f"SELECT a, b, CAST(f AS DOUBLE) AS factor FROM {_values(UNIT_PAIRS, 'a, b, f')}")
+def unit_convert(spark, sf_dir):
+    return spark.createDataFrame([p[:2] for p in UNIT_PAIRS], "a string, b string").select("a", "b", units.factor(F.col("a"), F.col("b")).alias("factor"))
+
+
+@query(f"SELECT raw, CAST(v AS DOUBLE) AS parsed FROM {_values(NUMBERS, 'raw, v')}")
+def number_parse(spark, sf_dir):
+    return spark.createDataFrame([p[:1] for p in NUMBERS], "raw string").select("raw", indonesian_number(F.col("raw")).alias("parsed"))
+
+
+@query(f"SELECT replace(raw, '''''', '''') AS raw, CAST(y AS INTEGER) AS year, CAST(m AS VARCHAR) AS month FROM {_values(PERIODS, 'raw, y, m')}")
+def period_parse(spark, sf_dir):
+    df = spark.createDataFrame([(p[0].replace("''", "'"),) for p in PERIODS], "raw string")
+    p = parse_period(F.lit("str"), F.col("raw"), F.lit(None).cast("timestamp_ntz"))
+    return df.select("raw", p["year"].alias("year"), p["month"].alias("month"))
+
+
+# -- tables from grids -------------------------------------------------------------------------
+
+CELL_COLS = "source_ord", "file", "sheet", "r", "c", "kind", "v_str", "v_num", "v_ts", "is_bold", "has_fill", "has_top_border", "indent"
+
+
+def _cells(df: DataFrame, r, c, text=None, number=None) -> DataFrame:
+    """Cells from rows: a text or a number at (r, c)."""
+    return df.select(
+        F.col("g").alias("source_ord"), F.lit("f").alias("file"), F.concat(F.lit("s"), F.col("g").cast("string")).alias("sheet"), r.cast("int").alias("r"), c.cast("int").alias("c"),
+        F.lit("str" if text is not None else "num").alias("kind"), (text if text is not None else F.lit(None)).cast("string").alias("v_str"), (number if number is not None else F.lit(None)).cast("double").alias("v_num"),
+        F.lit(None).cast("timestamp_ntz").alias("v_ts"), F.lit(False).alias("is_bold"), F.lit(False).alias("has_fill"), F.lit(False).alias("has_top_border"), F.lit(0).alias("indent"),
+    )
+
+
+def generic_cells(m: DataFrame) -> DataFrame:
+    """A sheet a region: title, unit, a header row of months, a row a nation."""
+    col = (F.col("y") - 1990) * 12 + F.col("mo") + 1
+    heads = m.select("g", "y", "mo").distinct()
+    one = m.select("g").distinct()
+    return (
+        _cells(one, F.lit(1), F.lit(1), F.lit("Penjualan")).unionByName(_cells(one, F.lit(2), F.lit(1), F.lit("(juta Rp)"))).unionByName(_cells(one, F.lit(3), F.lit(1), F.lit("Wilayah")))
+        .unionByName(_cells(heads, F.lit(3), col, F.concat_ws(" ", month_abbreviation(F.col("mo")), F.col("y").cast("string"))))
+        .unionByName(_cells(m.select("g", "k", "label").distinct(), F.col("k") + 4, F.lit(1), F.col("label"))).unionByName(_cells(m, F.col("k") + 4, col, None, F.col("v")))
+    )
+
+
+def wide_cells(m: DataFrame) -> DataFrame:
+    """The same as wide time series: years over their January, months below, labels in the third column."""
+    years = m.select("g", "y").distinct()
+    months = years.select("g", "y", F.explode(F.sequence(F.lit(1), F.lit(12))).alias("mo"))
+    col = (F.col("y") - 1990) * 12 + F.col("mo") + 3
+    one = m.select("g").distinct()
+    return (
+        _cells(one, F.lit(1), F.lit(1), F.lit("Penjualan")).unionByName(_cells(one, F.lit(2), F.lit(1), F.lit("(juta Rp)"))).unionByName(_cells(years, F.lit(4), (F.col("y") - 1990) * 12 + 4, None, F.col("y")))
+        .unionByName(_cells(months, F.lit(5), col, month_abbreviation(F.col("mo")))).unionByName(_cells(m.select("g", "k", "label").distinct(), F.col("k") + 6, F.lit(3), F.col("label")))
+        .unionByName(_cells(m, F.col("k") + 6, col, None, F.col("v")))
+    )
+
+
+LONG = f"WITH {M} SELECT g AS source_ord, label AS row_label, y AS year, {ABBR} AS month, v AS value FROM m"
+
+
+def _long(p: grids.Parsed) -> DataFrame:
+    return p.data.select("source_ord", "row_label", "year", "month", "value")
+
+
+@query(LONG)
+def parse_generic_table(spark, sf_dir):
+    return _long(grids.parse_generic(generic_cells(monthly(spark, sf_dir))))
+
+
+@query(LONG)
+def parse_wide_table(spark, sf_dir):
+    return _long(grids.parse_wide(wide_cells(monthly(spark, sf_dir))))
+
+
+@query(LONG)
+def parse_spec_table(spark, sf_dir):
+    m = monthly(spark, sf_dir)
+    cells = generic_cells(m)
+    column = F.struct(((F.col("y") - 1990) * 12 + F.col("mo")).alias("col"), F.lit("period").alias("kind"), F.col("y").alias("year"), month_abbreviation(F.col("mo")).alias("month"), F.lit(None).cast("string").alias("name"))
+    specs = m.select("g", "y", "mo").distinct().groupBy(F.col("g").alias("source_ord")).agg(F.collect_list(column).alias("columns")).select(
+        "source_ord", F.lit(2).alias("header_row"), F.lit(0).alias("label_col"), F.lit(3).alias("data_start_row"), F.lit("temporal").alias("axis_type"), F.lit("T").alias("title"), F.lit("u").alias("unit"), "columns")
+    return _long(grids.parse_by_spec(cells, specs))
+
+
+@query(f"WITH {M} SELECT DISTINCT g AS source_ord, 'Penjualan' AS title, 'juta Rp' AS unit, 'temporal' AS axis_type, CASE WHEN g % 2 = 0 THEN 'bi' ELSE 'generic' END AS parser FROM m")
+def parser_cascade(spark, sf_dir):
+    m = monthly(spark, sf_dir)
+    cells = wide_cells(m.where("g % 2 = 0")).unionByName(generic_cells(m.where("g % 2 = 1")))
+    return grids.parse_tables(cells).meta.select("source_ord", "title", "unit", "axis_type", "parser")
+
+
+@query(f"WITH {M} SELECT DISTINCT g AS source_ord, 3 AS header_row, 1 AS label_col FROM m")
+def header_detect(spark, sf_dir):
+    cells = generic_cells(monthly(spark, sf_dir))
+    return grids.label_columns(cells, grids.header_rows(cells))
+
+
+@query(f"WITH {M} SELECT DISTINCT g AS source_ord, CAST((y - 1990) * 12 + mo + 3 AS INTEGER) AS c, y AS year, {ABBR} AS month FROM (SELECT DISTINCT g, y FROM m) a, (SELECT unnest(range(1, 13)) AS mo) b")
+def column_periods(spark, sf_dir):
+    return grids.column_periods(wide_cells(monthly(spark, sf_dir))).select("source_ord", "c", "year", "month")
+
+
+PRINT_ROWS = [(r, 1, "t") for r in range(2, 6)] + [(1, 1, "t"), (1, 2, "t")] + [(r, 2, "n") for r in range(2, 6)]
+
+
+@query("SELECT n_nationkey AS source_ord, sha256('tt.|tn.|tn.|tnn#3') AS fingerprint FROM nation")
+def fingerprint(spark, sf_dir):
+    n = read(spark, sf_dir, "nation").withColumn("g", F.col("n_nationkey"))
+    cells = [_cells(n, F.lit(1), F.lit(c), F.col("n_name")) for c in (1, 2)] + [_cells(n, F.lit(r), F.lit(1), F.col("n_name")) for r in (2, 3, 4)]
+    cells += [_cells(n, F.lit(r), F.lit(c), None, F.col("n_regionkey")) for r, c in ((2, 2), (3, 2), (4, 2), (4, 3))]
+    out = cells[0]
+    for x in cells[1:]:
+        out = out.unionByName(x)
+    return grids.fingerprints(out)
+
+
+@query(f"WITH {M} SELECT g AS source_ord, k, y, mo, v FROM m")
+def table_unpivot_long(spark, sf_dir):
+    wide = monthly(spark, sf_dir).groupBy("g", "k", "y").pivot("mo", list(range(1, 13))).agg(F.first("v"))
+    return wide.unpivot(["g", "k", "y"], [str(i) for i in range(1, 13)], "mo", "v").where("v IS NOT NULL").select(F.col("g").alias("source_ord"), "k", "y", F.col("mo").cast("int").alias("mo"), "v")
+
+
+@query("SELECT l_orderkey, l_returnflag, arg_min(l_extendedprice, row(l_linenumber, l_extendedprice)) AS value FROM lineitem GROUP BY l_orderkey, l_returnflag")
+def first_wins_dedup(spark, sf_dir):
+    return read(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_returnflag").agg(F.min_by("l_extendedprice", F.struct("l_linenumber", "l_extendedprice")).alias("value"))
+
+
+# -- ingestion ---------------------------------------------------------------------------------
+
+YEARS = f"WITH {M}, y AS (SELECT g, k, label, y, CAST(sum(CAST(v AS DECIMAL(18, 2))) AS DOUBLE) AS v FROM m GROUP BY 1, 2, 3, 4), f AS (SELECT g FROM y GROUP BY g HAVING count(*) = count(DISTINCT k) * count(DISTINCT y))"
+
+
+def total_cells(spark, sf_dir) -> DataFrame:
+    """A sheet a region: nations by year with a total row and no total column."""
+    m = monthly(spark, sf_dir)
+    y = m.groupBy("g", "k", "label", "y").agg(F.sum(F.col("v").cast("decimal(18,2)")).cast("double").alias("v"))
+    col, t = F.col("y") - 1988, y.groupBy("g", "y").agg(F.sum(F.col("v").cast("decimal(18,2)")).cast("double").alias("v"))
+    one = y.select("g").distinct()
+    return (
+        _cells(one, F.lit(1), F.lit(1), F.lit("Wilayah")).unionByName(_cells(y.select("g", "y").distinct(), F.lit(1), col, F.concat(F.lit("Tahun "), F.col("y").cast("string"))))
+        .unionByName(_cells(y.select("g", "k", "label").distinct(), F.col("k") + 2, F.lit(1), F.col("label"))).unionByName(_cells(y, F.col("k") + 2, col, None, F.col("v")))
+        .unionByName(_cells(one, F.lit(99), F.lit(1), F.lit("Jumlah"))).unionByName(_cells(t, F.lit(99), col, None, F.col("v")))
+    )
+
+
+@query(f"""{YEARS} SELECT 's' || g AS sheet, label AS row_label, 'Tahun ' || y AS col_label, v AS value, false AS is_aggregate, 's' || g || '!' || chr(CAST(64 + y - 1988 AS INTEGER)) || (k + 2) AS source_cell_ref FROM y
+UNION ALL SELECT 's' || g, 'Jumlah', 'Tahun ' || y, CAST(sum(CAST(v AS DECIMAL(18, 2))) AS DOUBLE), g IN (SELECT g FROM f), 's' || g || '!' || chr(CAST(64 + y - 1988 AS INTEGER)) || 99 FROM y GROUP BY g, y""")
+def ingest_facts(spark, sf_dir):
+    return ingest.extract_facts(total_cells(spark, sf_dir)).select("sheet", "row_label", "col_label", "value", "is_aggregate", "source_cell_ref")
+
+
+@query(f"""{YEARS} SELECT DISTINCT g AS source_ord, label, CAST(0.0 AS DOUBLE) AS score, 'not_aggregate' AS class FROM y
+UNION ALL SELECT DISTINCT g, 'Jumlah', CASE WHEN g IN (SELECT g FROM f) THEN 1.0 ELSE 0.55 END, CASE WHEN g IN (SELECT g FROM f) THEN 'aggregate' ELSE 'ambiguous' END FROM y""")
+def aggregate_row_score(spark, sf_dir):
+    return ingest.signals(total_cells(spark, sf_dir)).where("axis = 'row'").select("source_ord", "label", "score", "class")
+
+
+@query(f"""{YEARS} SELECT DISTINCT g AS source_ord, 'Tahun ' || y AS label, CAST(CASE WHEN y = max(y) OVER (PARTITION BY g) THEN 0.05 ELSE 0.0 END AS DOUBLE) AS score FROM y""")
+def aggregate_col_score(spark, sf_dir):
+    return ingest.signals(total_cells(spark, sf_dir)).where("axis = 'column'").select("source_ord", "label", "score")
+
+
+# -- text --------------------------------------------------------------------------------------
+
+LINES = r"l AS (SELECT doc_id, unnest(string_split_regex(text, '\r\n|\n|\r')) AS line FROM documents), t AS (SELECT doc_id, line, list_filter(string_split_regex(line, '\s+'), lambda w: w <> '') AS w FROM l)"
+
+
+@query(f"WITH {LINES} SELECT CASE WHEN len(w) < 6 THEN 'skip' WHEN len(list_filter(w, lambda x: regexp_full_match(x, '[\\d.,%()\\-]+'))) / len(w) > 0.55 THEN 'table' ELSE 'narrative' END AS kind, count(*) AS n FROM t GROUP BY 1")
+def line_classify(spark, sf_dir):
+    lines = narrative.explode_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return lines.groupBy(narrative.classify_line(F.col("line")).alias("kind")).agg(F.count("*").alias("n"))
+
+
+TAB = r"""(starts_with(trim(line), '|') OR regexp_matches(trim(line), '\S {4,}\S')
+ OR (len(w) >= 8 AND len(list_filter(w, lambda x: regexp_full_match(x, '-?[\d.,]+%?') OR lower(x) IN ('jan','feb','mar','apr','mei','may','jun','jul','ags','agu','aug','sep','okt','oct','nov','des','dec'))) / len(w) >= 0.65)
+ OR (len(w) >= 3 AND len(list_filter(list_slice(w, -3, -1), lambda x: regexp_full_match(x, '\(?-?[\d.,]+%?\)?'))) = 3))"""
+
+
+@query(f"WITH {LINES} SELECT doc_id, count(*) AS n FROM t WHERE {TAB} GROUP BY doc_id")
+def tabular_line_filter(spark, sf_dir):
+    lines = narrative.explode_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return lines.where(narrative.is_tabular(F.col("line"))).groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {LINES}, k AS (SELECT doc_id, line, w, CASE WHEN len(w) < 6 THEN 's' WHEN len(list_filter(w, lambda x: regexp_full_match(x, '[\\d.,%()\\-]+'))) / len(w) > 0.55 THEN 't' ELSE 'n' END AS kind FROM t WHERE trim(line) <> '' AND NOT starts_with(trim(line), '*'))
+SELECT doc_id, count(*) FILTER (WHERE kind = 'n') AS n FROM k GROUP BY doc_id HAVING count(*) FILTER (WHERE kind = 'n') > 0 AND count(*) FILTER (WHERE kind = 't') < 0.7 * count(*) FILTER (WHERE kind <> 's')""")
+def narrative_filter(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", r"(?m)^\s*\*.*$", "").alias("text"))
+    return narrative.filter_narrative(narrative.split_pages(docs)).groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+@query()
+def page_chunks(spark, sf_dir):
+    lines = narrative.explode_lines(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.col("line_no").alias("block_no"), F.col("line").alias("text"))
+    return narrative.chunk_pages(lines).select("doc_id", "block_no", "chunk_no")
+
+
+NORM = r"regexp_replace(text, '[\s]+', ' ', 'g')"
+
+
+@query(rf"WITH n AS (SELECT doc_id, {NORM} AS t FROM documents WHERE length({NORM}) >= 60 AND regexp_full_match(substr({NORM}, 21, 30), '\S.*\S') AND NOT contains(substr({NORM}, 21, 30), '  ')) SELECT doc_id, CAST(instr(t, substr(t, 21, 30)) AS INTEGER) AS start FROM n")
+def anchor_locate(spark, sf_dir):
+    n = read(spark, sf_dir, "documents").select("doc_id", normalise_ws(F.col("text")).alias("t")).withColumn("a", F.substring("t", 21, 30))
+    n = n.where((F.length("t") >= 60) & F.col("a").rlike(r"^\S.*\S$") & ~F.contains("a", F.lit("  ")))
+    return n.select("doc_id", locate_anchor(F.col("a"), F.col("t"))["start"].alias("start"))
+
+
+@query(r"SELECT lower(w) AS word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]+(?:-[A-Za-z]+)*')) AS w FROM documents) GROUP BY 1")
+def tokens(spark, sf_dir):
+    return typo.tokenise(read(spark, sf_dir, "documents")).groupBy(F.lower("word").alias("word")).agg(F.count("*").alias("n"))
+
+
+STD = ", ".join(f"('{a}', '{b}')" for a, b in typo.STANDARD.items())
+
+
+@query(rf"""WITH d AS (SELECT doc_id, text || ' Resiko aktifitas' AS text FROM documents), w AS (SELECT doc_id, lower(unnest(regexp_extract_all(text, '[A-Za-z]+(?:-[A-Za-z]+)*'))) AS w FROM d)
+SELECT doc_id, b AS suggestion, count(*) AS n FROM w JOIN (VALUES {STD}) s(a, b) ON w = a GROUP BY 1, 2""")
+def nonstandard_words(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.concat("text", F.lit(" Resiko aktifitas")).alias("text"))
+    f = typo.scan(docs, spark.createDataFrame([("resiko",), ("aktifitas",)], "word string"))
+    return f.where("kind = 'nonstandard'").groupBy("doc_id", "suggestion").agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, 'Rumah-rumah' AS suggestion, 0 AS start, 11 AS \"end\" FROM documents")
+def reduplication(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.lit("Rumah rumah rumah. Orang dan orang").alias("text"))
+    f = typo.scan(docs, spark.createDataFrame([("rumah",), ("orang",), ("dan",)], "word string"))
+    return f.where("kind = 'reduplication'").select("doc_id", "suggestion", "start", "end")
+
+
+@query("SELECT doc_id, 'xyzw' AS text, 2 AS n FROM documents")
+def unknown_words(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.lit("k redit xyzw di terbi tkan kg lagi xyzw Nama").alias("text"))
+    f = typo.scan(docs, spark.createDataFrame([("kredit",), ("diterbitkan",), ("lagi",)], "word string"))
+    return typo.candidates(f, docs).where("kind = 'unknown_word'").select("doc_id", "text", F.size("occurrences").alias("n"))
+
+
+# -- SQL checks, evaluation, streams -----------------------------------------------------------
+
+
+@query("SELECT 'orders' AS table_name, c AS column_name, v FROM (SELECT 'o_orderstatus' AS c, o_orderstatus AS v FROM orders UNION SELECT 'o_orderpriority', o_orderpriority FROM orders UNION SELECT 'o_orderstatus+o_orderpriority', o_orderstatus || '|' || o_orderpriority FROM orders)")
+def distinct_value_hints(spark, sf_dir):
+    hints = sqlcheck.distinct_value_hints(read(spark, sf_dir, "orders"), "orders")
+    return hints.select("table_name", F.array_join("columns", "+").alias("column_name"), F.explode("vals").alias("x")).select("table_name", "column_name", F.array_join("x", "|").alias("v"))
+
+
+@query("SELECT * FROM (VALUES (0, true, true), (1, false, true), (2, true, false), (3, true, true), (4, false, false)) t(i, comparison, insufficient)")
+def comparison_sufficiency(spark, sf_dir):
+    rows = [(0, "Inflasi tertinggi", [["5.47"]]), (1, "Inflasi 5", [[None, None]]), (2, "naik dari 5 ke 6", [["1", "2"]]), (3, "tren", []), (4, "nilai", [["1"], ["2"]])]
+    df = spark.createDataFrame(rows, "i int, claim string, r array<array<string>>")
+    return df.select("i", sqlcheck.is_comparison(F.col("claim")).alias("comparison"), sqlcheck.insufficient(F.col("r")).alias("insufficient"))
+
+
+@query("SELECT n_nationkey, n_name FROM nation ORDER BY n_nationkey LIMIT 7 OFFSET 5")
+def table_browse(spark, sf_dir):
+    return sqlcheck.browse(read(spark, sf_dir, "nation").select("n_nationkey", "n_name"), "n_nationkey", 7, 5)
+
+
+PAIRS = "p AS (SELECT CAST(quality AS VARCHAR) AS expected, CAST(toxic AS VARCHAR) AS predicted FROM labels)"
+PRF = f"""WITH {PAIRS}, x AS (SELECT DISTINCT label FROM (SELECT expected AS label FROM p UNION SELECT predicted FROM p)),
+s AS (SELECT label, count(*) FILTER (WHERE expected = label AND predicted = label) AS tp, count(*) FILTER (WHERE expected <> label AND predicted = label) AS fp, count(*) FILTER (WHERE expected = label AND predicted <> label) AS fn FROM x, p GROUP BY label),
+r AS (SELECT label, tp, fp, fn, coalesce(tp / nullif(tp + fp, 0), 0) AS precision, coalesce(tp / nullif(tp + fn, 0), 0) AS recall FROM s),
+f AS (SELECT *, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0) AS f1 FROM r)"""
+
+
+def _pairs(spark, sf_dir):
+    return read(spark, sf_dir, "labels").select(F.col("quality").cast("string").alias("expected"), F.col("toxic").cast("string").alias("predicted"))
+
+
+@query(f"WITH {PAIRS} SELECT expected, predicted, count(*) AS n FROM p GROUP BY 1, 2")
+def eval_confusion(spark, sf_dir):
+    return evaluation.confusion(_pairs(spark, sf_dir))
+
+
+@query(f"{PRF} SELECT label, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn, round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1, 9) AS f1 FROM f")
+def eval_prf(spark, sf_dir):
+    return evaluation.per_label(_pairs(spark, sf_dir)).withColumns({c: F.round(c, 9) for c in ("precision", "recall", "f1")})
+
+
+@query(f"{PRF}, a AS (SELECT count(*) AS n, round(avg(CASE WHEN expected = predicted THEN 1.0 ELSE 0.0 END), 9) AS accuracy FROM p) SELECT n, CAST(accuracy AS DOUBLE) AS accuracy, round((SELECT avg(f1) FROM f), 9) AS macro_f1 FROM a")
+def eval_macro_f1(spark, sf_dir):
+    return evaluation.overall(_pairs(spark, sf_dir)).withColumns({c: F.round(c, 9) for c in ("accuracy", "macro_f1")})
+
+
+@query("SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(CAST(sum(CAST(value AS DECIMAL(18, 4))) AS DOUBLE), 4) AS total FROM events GROUP BY 1, 2")
+def stream_events_daily(spark, sf_dir):
+    return streams.daily_events(read(spark, sf_dir, "events")).withColumn("day", F.col("day").cast("string"))
+
+
+@query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS id FROM g) SELECT user_id, count(*) AS n FROM s GROUP BY user_id, id""")
+def stream_event_sessions(spark, sf_dir):
+    return streams.event_sessions(read(spark, sf_dir, "events")).select("user_id", "n")
+
+
+ENTRY = claim_yoy_growth
