@@ -39,3 +39,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def bounded_batches(spark: SparkSession, mb: int = 16) -> None:
     """Arrow batches to Python of at most so many MB, however long the rows are."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
+
+
+#: What worker processes remember between tasks, by operator. Workers serve many stages.
+CACHES: dict[str, list] = {}
+
+
+def remember(name: str, *caches) -> None:
+    CACHES.setdefault(name, []).extend(caches)
+
+
+def only(name: str) -> None:
+    """Forget what other operators remember in this worker process, so that memory is that of one stage."""
+    for other, caches in CACHES.items():
+        if other != name:
+            for c in caches:
+                c.clear()

@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import bounded_batches, stage, table
+from ._common import bounded_batches, only, remember, stage, table
 
 #: Words of the table that workers hold: the most frequent ones of the corpus, at most so many.
 TABLE_WORDS = 400_000
@@ -285,10 +285,12 @@ class Encoder:
 
 
 _ENCODERS: dict[str, Encoder] = {}
+remember("bpe", _ENCODERS, Table._known, Table._pieces)
 
 
 def _worker(encoder: Encoder) -> Encoder:
     """The encoder of this table in this worker process, with what it remembers."""
+    only("bpe")
     if encoder.words.name not in _ENCODERS:
         _ENCODERS.clear()
         _ENCODERS[encoder.words.name] = encoder

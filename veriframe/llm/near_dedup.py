@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import stage, table
+from ._common import only, stage, table
 from .components import components
 from .shingles import MinHash, common, mix, shingle_set
 
@@ -27,6 +27,7 @@ NEIGHBOURS, ACROSS = 3, 12
 
 def _signatures(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("shingles")
         minhash = MinHash(VALUES)
         for batch in batches:
             n, digest, sig = [], [], []

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import stage, table
+from ._common import only, remember, stage, table
 
 CAPACITY = 4096
 END_ID = 2
@@ -119,6 +119,7 @@ class WordEncoder:
 
 
 _ENCODERS: dict[int, WordEncoder] = {}
+remember("packing", _ENCODERS)
 
 
 def _encoder(blob) -> WordEncoder:
@@ -147,6 +148,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> Da
     end = np.array([END_ID], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("packing")
         encoder = _encoder(blob)
         for batch in batches:
             rows = []

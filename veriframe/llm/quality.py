@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import stage, table
+from ._common import only, remember, stage, table
 
 #: Words and runs of other marks; n-grams of tokens and of their shapes are hashed into BUCKETS.
 TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
@@ -20,6 +20,7 @@ BUCKETS = 1 << 15
 SAMPLE = 10_000
 _CACHE: dict[str, tuple[int, int]] = {}
 _CACHE_LIMIT = 400_000
+remember("quality", _CACHE)
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -58,6 +59,7 @@ def features(text: str | None) -> np.ndarray:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    only("quality")
     raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
     for batch in batches:
         for text, quality in zip(batch.column("text").to_pylist(), batch.column("__quality").to_pylist()):
@@ -136,6 +138,7 @@ def keep_good(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of docs that the model accepts, all columns as they are; no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("quality")
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
             yield batch.filter(pa.array([model.accepts(*_log_ratio(model.weights, t)) for t in texts], pa.bool_()))
@@ -147,6 +150,7 @@ def rate(docs: DataFrame, model: Model, seed: int = 0) -> DataFrame:
     """doc_id, n_features, log_weight (sum of log ratios), mean_ratio, accepted, gumbel (0..1 hash noise turned)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("quality")
         for batch in batches:
             ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
             got = [_log_ratio(model.weights, t) for t in texts]

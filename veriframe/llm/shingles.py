@@ -5,9 +5,12 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from ._common import remember
+
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _WORDS: dict[bytes, int] = {}
 _WORDS_LIMIT = 500_000
+remember("shingles", _WORDS)
 
 
 def words(text: str | None) -> list[bytes]:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import stage, table
+from ._common import only, stage, table
 
 TOKEN = re.compile(r"[^\W_]+")
 #: Labelled rows of either class that take part in fitting, and the size of the lexicon (documented bounds).
@@ -299,6 +299,7 @@ def score_documents(docs: DataFrame, scorer: Scorer) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("toxicity")
         for batch in batches:
             got = [scorer.score(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_pydict({
@@ -317,6 +318,7 @@ def keep_clean(docs: DataFrame, scorer: Scorer) -> DataFrame:
     """The rows of docs below the threshold, all columns as they are; no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("toxicity")
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
             yield batch.filter(pa.array([scorer.score(t)[0] < THRESHOLD for t in texts], pa.bool_()))
