@@ -18,11 +18,11 @@ from .shingles import MinHash, common, mix, shingle_set
 TREES, STRIDE = 20, 4
 VALUES = TREES * STRIDE
 #: Depths at which regions of an order may be told apart; a region is deepened until it holds REGION rows at most.
-DEPTHS = (4, 7, 11, 18, VALUES)
+DEPTHS = (4, 7, 11, 18, 30)
 REGION = 1024
 #: Neighbours of a row in a region that become candidates, the nearest by signature: of all rows,
 #: then, once components are known, of the rows of other components.
-NEIGHBOURS, ACROSS = 3, 12
+NEIGHBOURS, ACROSS = 3, 8
 
 
 def _signatures(width: int):
@@ -67,16 +67,16 @@ def _shallow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _deep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for every deeper level of rows of crowded regions."""
+    """A row for every level of rows of crowded regions."""
     for batch in batches:
         if len(batch):
             sig, trees, rep = _matrix(batch.column("sig")), batch.column("tree").to_numpy(), batch.column("rep").to_numpy()
             for tree in np.unique(trees):
                 rows = np.flatnonzero(trees == tree)
-                keys = prefix_keys(sig[rows], int(tree), DEPTHS)[:, 1:]
-                level = np.tile(np.arange(1, len(DEPTHS), dtype=np.int32), len(rows))
+                keys = prefix_keys(sig[rows], int(tree), DEPTHS)
+                level = np.tile(np.arange(len(DEPTHS), dtype=np.int32), len(rows))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(level), tree, np.int32)), pa.array(level), pa.array(keys.ravel()), pa.array(np.repeat(rep[rows], len(DEPTHS) - 1))],
+                    [pa.array(np.full(len(level), tree, np.int32)), pa.array(level), pa.array(keys.ravel()), pa.array(np.repeat(rep[rows], len(DEPTHS)))],
                     ["tree", "level", "key", "rep"],
                 )
 
@@ -199,8 +199,8 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85) -> DataF
     Rows with equal shingle sets are one class, known by its smallest doc_id; only one row of a
     class goes on. Each of TREES orders of a class's signature starts at other values. Rows with
     the same first values in an order form a region; a region of over REGION rows is told apart
-    further on in its order, region by region, and rows whose whole signatures agree are compared
-    with the least of them. In a region every row is paired with its NEIGHBOURS nearest. Pairs are
+    further on in its order, region by region. Rows that no depth tells apart, and rows that are alone at the
+    next depth, are compared within parts of the deepest crowded region, dealt anew in each order. In a region every row is paired with its NEIGHBOURS nearest. Pairs are
     confirmed on the full sets of shingle hashes (64 bits), then joined to components. In regions
     with more rows than that, rows of different components are then paired once more, with ACROSS neighbours.
 
@@ -219,19 +219,17 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85) -> DataF
     shallow = reps.mapInArrow(_shallow, "tree int, key long, rep long")
     crowd = shallow.groupBy("tree", "key").agg(F.count("*").alias("size")).where("size > 1")
     shared = stage(shallow.join(crowd, ["tree", "key"]).select("tree", "key", "rep", "size"), "regions")
-    region = F.xxhash64("tree", "level", "key")
     settled = shared.where(F.col("size") <= REGION).select(F.xxhash64("tree", F.lit(0), "key").alias("region"), "rep", "size")
     crowded = shared.where(F.col("size") > REGION).join(reps, "rep").select("tree", "rep", "sig")
     levels = stage(crowded.mapInArrow(_deep, "tree int, level int, key long, rep long"), "levels")
-    sizes = levels.groupBy("tree", "level", "key").agg(F.count("*").alias("size"), F.min("rep").alias("first"))
-    sized = levels.join(sizes, ["tree", "level", "key"])
-    fits = F.when((F.col("size") <= REGION) | (F.col("level") == len(DEPTHS) - 1), F.struct("level", "key", "size", "first"))
-    chosen = stage(sized.groupBy("tree", "rep").agg(F.min(fits).alias("at")).select("tree", "rep", "at.*"), "chosen")
-    told = chosen.where((F.col("size") > 1) & (F.col("size") <= REGION)).select(region.alias("region"), "rep", "size")
-    star = chosen.where((F.col("size") > REGION) & (F.col("rep") != F.col("first"))).select(
-        F.col("first").alias("a"), F.col("rep").alias("b"),
-        F.xxhash64("tree", "level", "key", F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / REGION))).alias("region"),
-    )
+    sizes = levels.groupBy("tree", "level", "key").agg(F.count("*").alias("size"))
+    sized = levels.join(sizes, ["tree", "level", "key"]).where("size > 1")
+    at = F.struct("level", "key", "size")
+    chosen = sized.groupBy("tree", "rep").agg(F.min(F.when(F.col("size") <= REGION, at)).alias("fit"), F.max(F.when(F.col("size") > REGION, at)).alias("big"))
+    chosen = chosen.select("tree", "rep", F.coalesce("fit", "big").alias("at")).select("tree", "rep", "at.*")
+    # What no depth tells apart, or leaves alone, stays in a part of its deepest crowded region, another in every tree.
+    part = F.when(F.col("size") > REGION, F.pmod(F.xxhash64("rep", "tree"), F.ceil(2 * F.col("size") / REGION))).otherwise(F.lit(-1))
+    told = chosen.select(F.xxhash64("tree", "level", "key", part).alias("region"), "rep", F.least("size", F.lit(REGION)).alias("size"))
 
     def candidates(members: DataFrame, most: int) -> DataFrame:
         rows = members.join(reps, "rep").select("region", "rep", "group", "sig")
@@ -241,7 +239,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85) -> DataF
         return pairs.groupBy("a", "b").agg(F.min("region").alias("region"))
 
     members = settled.unionByName(told)
-    pairs = stage(once(candidates(members.withColumn("group", F.col("rep")), NEIGHBOURS).unionByName(star)), "pairs")
+    pairs = stage(once(candidates(members.withColumn("group", F.col("rep")), NEIGHBOURS)), "pairs")
     links = _links(docs, pairs, width, percent)
     found = components(links)
     large = members.where(F.col("size") > NEIGHBOURS + 1).join(found, F.col("rep") == F.col("id"), "left")
