@@ -105,12 +105,13 @@ def _trend(holds: str) -> str:
 SELECT CAST(k * 1000000 + y * 100 AS BIGINT) AS fact_ord, CASE WHEN a IS NULL OR b IS NULL OR c IS NULL THEN 'Inconclusive' WHEN {holds} THEN 'Entailed' ELSE 'Refuted' END AS verdict FROM q"""
 
 
-CLAIM = F.round(F.col("v") * (1 + ((F.col("k") + F.col("mo")) % 3 - 1) * 0.01), 1)
+def claim():
+    return F.round(F.col("v") * (1 + ((F.col("k") + F.col("mo")) % 3 - 1) * 0.01), 1)
 
 
 @query(_single("round(v, 4)", "round(v * (1 + ((k + mo) % 3 - 1) * 0.01), 1)"))
 def claim_value(spark, sf_dir):
-    return judged(spark, sf_dir, "value", CLAIM, "Rp", (0,))
+    return judged(spark, sf_dir, "value", claim(), "Rp", (0,))
 
 
 @query(_single("round((a.v - p.v) / nullif(abs(p.v), 0) * 100, 4)", "CAST((a.k + a.mo) % 7 AS DOUBLE)", "LEFT JOIN m p ON p.k = a.k AND p.y = a.y - 1 AND p.mo = a.mo"))
