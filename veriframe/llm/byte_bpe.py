@@ -151,8 +151,22 @@ def merge(match: bytes, ranks: dict[bytes, int]) -> bytes:
 
 
 _SPACES = regex.compile(f"[{_WS}]*[^{_WS}]+|[{_WS}]+")
-#: What plain splitting on blanks and line ends does not treat alike.
-_RARE = regex.compile(f"[ \\n][ \\n]|[^\\S \\n]|[\\x1c-\\x1f\\x85]|[ \\n]\\Z")
+#: What plain splitting on blanks and line ends does not treat alike: runs of them, other white space.
+_ODD = ("  ", "\n\n", " \n", "\n ", "\t", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\xa0")
+_WIDE = regex.compile(f"[{_WS}--\\x00-\\xff]", regex.V1)
+
+
+def is_plain(text: str) -> bool:
+    """Whether white space is single blanks and line ends between marks; told by quick tests."""
+    if text.endswith((" ", "\n")) or any(m in text for m in _ODD):
+        return False
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+        return True
+    except UnicodeEncodeError:
+        return not _WIDE.search(text)
 
 
 def units(text: str) -> list[str]:
@@ -161,7 +175,7 @@ def units(text: str) -> list[str]:
     No match of the pattern goes on over such a cut and none looks across it, so the matches of a
     text are those of its units, one after another.
     """
-    if _RARE.search(text):
+    if not is_plain(text):
         return _SPACES.findall(text)
     out: list[str] = []
     for i, line in enumerate(text.split("\n")):
