@@ -45,16 +45,16 @@ def match_tiers(queries: DataFrame, labels: DataFrame) -> DataFrame:
     q = queries.select("q", strip(F.lower("q")).alias("ql"))
     lab = labels.select("label", F.lower("label").alias("ll"), strip(F.lower("label")).alias("ls"), leaf(F.col("label")).alias("lf"))
     whole = q.select("q", "ql", first_gram(F.col("ql")).alias("g")).join(lab.select("label", "ll", F.explode(grams(F.col("ll"))).alias("g")), "g")
-    two = whole.where(F.contains("ll", F.col("ql"))).select("q", "label", F.lit(2).alias("tier"), F.length("label").alias("k1"), F.lit(0).alias("k2"))
-    inside = q.select("q", "ql", F.explode(grams(F.col("ql"))).alias("g"))
-    four = inside.join(lab.select("label", "ls", first_gram(F.col("ls")).alias("g")), "g").where(F.contains("ql", F.col("ls")))
-    one = four.where(F.col("ls") == F.col("ql")).select("q", "label", F.lit(1).alias("tier"), F.lit(0).alias("k1"), F.lit(0).alias("k2"))
-    four = four.select("q", "label", F.lit(4).alias("tier"), (-F.length("label")).alias("k1"), F.lit(0).alias("k2"))
-    three = inside.join(lab.where(F.col("lf") != "").select("label", "lf", first_gram(F.col("lf")).alias("g")), "g").where(F.contains("ql", F.col("lf")))
+    two = whole.where(F.contains("ll", F.col("ql"))).select("q", "label", F.struct(F.lit(2).alias("tier"), F.length("label").alias("k1"), F.lit(0).alias("k2")).alias("m"))
+    # What may lie in a query: the label itself, and the leaf of a qualified one.
+    needles = F.array(F.struct(F.lit(4).alias("tier"), F.col("ls").alias("n")), F.struct(F.lit(3).alias("tier"), F.nullif("lf", F.lit("")).alias("n")))
+    parts = lab.select("label", "ls", F.inline(needles)).where("n IS NOT NULL").withColumn("g", first_gram(F.col("n")))
+    inside = q.select("q", "ql", F.explode(grams(F.col("ql"))).alias("g")).join(parts, "g").where(F.contains("ql", F.col("n")))
     shared = F.size(F.array_intersect(significant_words(F.col("label")), significant_words(F.col("ql"))))
-    three = three.select("q", "label", F.lit(3).alias("tier"), (-shared).alias("k1"), (-F.length("lf")).alias("k2"))
-    pairs = one.unionByName(two).unionByName(three).unionByName(four)
-    return pairs.groupBy("q", "label").agg(F.min(F.struct("tier", "k1", "k2")).alias("m")).select("q", "label", "m.*")
+    by_leaf = F.struct(F.lit(3).alias("tier"), (-shared).alias("k1"), (-F.length("n")).alias("k2"))
+    by_label = F.struct(F.when(F.col("ls") == F.col("ql"), 1).otherwise(4).alias("tier"), F.when(F.col("ls") == F.col("ql"), 0).otherwise(-F.length("label")).alias("k1"), F.lit(0).alias("k2"))
+    rest = inside.select("q", "label", F.when(F.col("tier") == 3, by_leaf).otherwise(by_label).alias("m"))
+    return two.unionByName(rest).groupBy("q", "label").agg(F.min("m").alias("m")).select("q", "label", "m.*")
 
 
 def scoped(df: DataFrame) -> DataFrame:
