@@ -221,4 +221,5 @@ def score(docs: DataFrame) -> DataFrame:
 
 
 def op10_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score(table(spark, sf_dir, "documents"))
+    scored = score(table(spark, sf_dir, "documents"))
+    return scored.withColumns({"log10_score": F.round("log10_score", 4), "mean_log10": F.round("mean_log10", 6)})

@@ -7,6 +7,7 @@ from .block_topk import ORACLE_OP7, op7_block_topk
 from .byte_bpe import op5_byte_bpe
 from .near_dedup import op6_near_dedup
 from .one_bit_ann import op2_one_bit_ann
+from .oracles import ORACLE_OP6, ORACLE_OP10
 from .packing import op3_packing
 from .quality import op9_quality
 from .ring_sharding import op8_ring_sharding
@@ -25,4 +26,4 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_backoff_lm": op10_backoff_lm,
 }
-ORACLES = {"op4_warc": ORACLE_OP4, "op7_block_topk": ORACLE_OP7}
+ORACLES = {"op4_warc": ORACLE_OP4, "op6_near_dedup": ORACLE_OP6, "op7_block_topk": ORACLE_OP7, "op10_backoff_lm": ORACLE_OP10}
