@@ -22,7 +22,7 @@ DEPTHS = (4, 7, 11, 18, 30)
 REGION = 1024
 #: Neighbours of a row in a region that become candidates, the nearest by signature: of all rows,
 #: then, once components are known, of the rows of other components.
-NEIGHBOURS, ACROSS = 3, 8
+NEIGHBOURS, ACROSS = 2, 6
 
 
 def _signatures(width: int):
