@@ -125,6 +125,35 @@ def test_near_dedup_crowded_regions(spark, monkeypatch):
     assert got == want
 
 
+def template_family(n: int, copies: int = 0):
+    """n texts of one template: every one has one partner at 0.857 and is below 0.85, by 0.001 or 0.01, to all others; copies are the first text but for a word."""
+    slots, p = 9, 23
+    base = [f"w{i}" for i in range(3 * slots * p + 4)]
+    rows = []
+    for i in range(n):
+        pair, second = divmod(i, 2)
+        a, b = divmod(pair, p)
+        w = list(base)
+        for x in range(slots):  # lines mod p: two texts change at most one slot in common, partners exactly the first
+            y = (b + (a + (11 * second)) * x) % p
+            w[3 * (x * p + y) + 2] = f"both{pair}" if x == 0 else f"own{i}x{x}"
+        rows.append((i, " ".join(w)))
+    for i in range(copies):
+        w = rows[0][1].split()
+        w[30 + 9 * i] = f"copy{i}"
+        rows.append((n + i, " ".join(w)))
+    return rows
+
+
+def test_near_dedup_outranked_links(spark):
+    """The only link of a row is found however many rows just under the threshold look nearer by signature."""
+    rows = template_family(240)
+    want = brute_components(rows)
+    assert len({c for _, _, c in want}) == 120
+    out = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in out) == want
+
+
 def test_shingles_by_definition():
     import re
 

@@ -21,7 +21,7 @@ VALUES = TREES * STRIDE
 DEPTHS = (4, 7, 11, 18, 30)
 REGION = 1024
 #: Neighbours of a row in a region that become candidates, the nearest by signature: of all rows,
-#: then, once components are known, of the rows of other components.
+#: then, once components are known, of the rows of other components. What they leave is all tried at last.
 NEIGHBOURS, ACROSS = 2, 6
 
 
@@ -108,12 +108,13 @@ def alike(sig: np.ndarray) -> np.ndarray:
     return out
 
 
-def _neighbours(share: float, most: int):
-    """Candidate pairs of a region: for every row its `most` nearest rows of other groups.
+def _neighbours(percent: int, most: int | None):
+    """Candidate pairs of a region: for every row its `most` nearest rows of other groups, or all of them.
 
-    Rows that agree in less than `share` of their signatures are no candidates.
+    Rows that agree in less than the similarity less 0.16 of their signatures are no candidates, nor are sets whose sizes alone
+    rule the similarity out.
     """
-    least = int(np.ceil(share * VALUES))
+    least = int(np.ceil((percent / 100 - 0.16) * VALUES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a_out, b_out, r_out = [], [], []
@@ -124,8 +125,13 @@ def _neighbours(share: float, most: int):
             sig, rep = _matrix(t.column("sig")), t.column("rep").to_numpy()
             same = alike(sig)
             same[group[:, None] == group[None, :]] = 0
+            n, block = t.column("n").to_numpy(), t.column("block").to_numpy()
+            same[100 * n[:, None] < percent * n[None, :]] = 0
+            same[100 * n[None, :] < percent * n[:, None]] = 0
+            if (block != block[0]).any():
+                same[block[:, None] == block[None, :]] = 0
             near = same >= least
-            if len(t) > most + 1:
+            if most is not None and len(t) > most + 1:
                 kth = np.partition(same, len(t) - most, axis=1)[:, len(t) - most]
                 near &= same >= kth[:, None]
             _, at, sizes = np.unique(group, return_inverse=True, return_counts=True)
@@ -203,6 +209,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85) -> DataF
     next depth, are compared within parts of the deepest crowded region, dealt anew in each order. In a region every row is paired with its NEIGHBOURS nearest. Pairs are
     confirmed on the full sets of shingle hashes (64 bits), then joined to components. In regions
     with more rows than that, rows of different components are then paired once more, with ACROSS neighbours.
+    Last, every pair of rows of different components in a region that was not tried before is confirmed.
 
     A text of fewer than `width` words is one shingle. Null, empty and blank texts have no shingles
     and are linked with nothing. Rows without a doc_id take the component of their class (null if
@@ -213,8 +220,8 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85) -> DataF
     which a pair of theirs was found first. No group beyond REGION rows meets in a task.
     """
     signed = stage(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_signatures(width), "doc_id long, n long, digest binary, sig binary"), "signatures")
-    classes = stage(signed.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "classes")
-    reps = classes.where("rep IS NOT NULL").select("rep", "sig")
+    classes = stage(signed.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
+    reps = classes.where("rep IS NOT NULL").select("rep", "n", "sig")
 
     shallow = reps.mapInArrow(_shallow, "tree int, key long, rep long")
     crowd = shallow.groupBy("tree", "key").agg(F.count("*").alias("size")).where("size > 1")
@@ -231,22 +238,30 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85) -> DataF
     part = F.when(F.col("size") > REGION, F.pmod(F.xxhash64("rep", "tree"), F.ceil(2 * F.col("size") / REGION))).otherwise(F.lit(-1))
     told = chosen.select(F.xxhash64("tree", "level", "key", part).alias("region"), "rep", F.least("size", F.lit(REGION)).alias("size"))
 
-    def candidates(members: DataFrame, most: int) -> DataFrame:
-        rows = members.join(reps, "rep").select("region", "rep", "group", "sig")
-        return rows.repartition("region").sortWithinPartitions("region").mapInArrow(_neighbours(percent / 100 - 0.16, most), "a long, b long, region long")
+    def candidates(members: DataFrame, most: int | None) -> DataFrame:
+        rows = members.join(reps, "rep").select("region", "rep", "group", "block", "n", "sig")
+        return rows.repartition("region").sortWithinPartitions("region").mapInArrow(_neighbours(percent, most), "a long, b long, region long")
 
     def once(pairs: DataFrame) -> DataFrame:
         return pairs.groupBy("a", "b").agg(F.min("region").alias("region"))
 
+    def grouped(rows: DataFrame, found: DataFrame) -> DataFrame:
+        return rows.join(found, F.col("rep") == F.col("id"), "left").withColumn("group", F.coalesce("component", "rep")).drop("id", "component")
+
+    whole = F.lit(0).alias("block")
     members = settled.unionByName(told)
-    pairs = stage(once(candidates(members.withColumn("group", F.col("rep")), NEIGHBOURS)), "pairs")
+    pairs = stage(once(candidates(members.select("region", "rep", F.col("rep").alias("group"), whole), NEIGHBOURS)), "pairs")
     links = _links(docs, pairs, width, percent)
     found = components(links)
-    large = members.where(F.col("size") > NEIGHBOURS + 1).join(found, F.col("rep") == F.col("id"), "left")
-    large = large.select("region", "rep", F.coalesce("component", "rep").alias("group"))
+    large = grouped(members.where(F.col("size") > NEIGHBOURS + 1), found).select("region", "rep", "group", whole)
     more = stage(once(candidates(large, ACROSS)).join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "more-pairs")
     if not more.isEmpty():
-        found = components(links.unionByName(_links(docs, more, width, percent)))
+        links = links.unionByName(_links(docs, more, width, percent))
+        found = components(links)
+    tried = pairs.select("a", "b").unionByName(more.select("a", "b"))
+    rest = stage(once(candidates(grouped(members, found).select("region", "rep", "group", whole), None)).join(tried, ["a", "b"], "left_anti"), "rest-pairs")
+    if not rest.isEmpty():
+        found = components(links.unionByName(_links(docs, rest, width, percent)))
 
     named = classes.select("digest", "rep").join(found, F.col("rep") == F.col("id"), "left").select("digest", F.coalesce("component", "rep").alias("c"))
     out = signed.select("doc_id", "n", "digest").join(named, "digest", "left")
