@@ -154,6 +154,16 @@ def test_near_dedup_outranked_links(spark):
     assert collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in out) == want
 
 
+def test_near_dedup_crowds_are_compared_whole(spark, monkeypatch):
+    """Regions far over REGION rows, with a large component and many rows outside it: no pair is lost to the deepening."""
+    monkeypatch.setattr(near_dedup, "REGION", 16)
+    rows = template_family(80, copies=30)
+    want = brute_components(rows)
+    assert len({c for _, _, c in want}) == 40
+    out = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in out) == want
+
+
 def test_shingles_by_definition():
     import re
 

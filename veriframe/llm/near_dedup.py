@@ -112,7 +112,7 @@ def _neighbours(percent: int, most: int | None):
     """Candidate pairs of a region: for every row its `most` nearest rows of other groups, or all of them.
 
     Rows that agree in less than the similarity less 0.16 of their signatures are no candidates, nor are sets whose sizes alone
-    rule the similarity out.
+    rule the similarity out. In a region of two blocks only rows of different blocks are paired.
     """
     least = int(np.ceil((percent / 100 - 0.16) * VALUES))
 
@@ -199,6 +199,28 @@ def _links(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataF
     return stage(met.repartition("region").sortWithinPartitions("region").mapInArrow(_confirm(percent), "a long, b long"), "confirmed")
 
 
+def _compared(rows: DataFrame) -> DataFrame:
+    """(region, rep, group, block) of all that is to be compared, from rows (tree, key, rep, size, group).
+
+    A region of over REGION rows becomes a region for every two blocks of about REGION / 2 rows, save
+    those of its largest group alone. Regions of a single group are left out.
+    """
+    at = ["tree", "key"]
+    crowded = rows.where(F.col("size") > REGION)
+    top = crowded.groupBy(*at, "group").agg(F.count("*").alias("members")).groupBy(*at).agg(F.max(F.struct("members", "group")).alias("top"), F.sum("members").alias("all"))
+    blocks = lambda n: F.ceil(2 * n / F.lit(REGION)).cast("int")
+    dealt = crowded.join(top.where("all > top.members"), at).withColumns({"seeking": blocks(F.col("all") - F.col("top.members")), "sought": blocks(F.col("top.members")), "seeks": F.col("group") != F.col("top.group")})
+    hashed = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
+    dealt = dealt.withColumn("block", F.when(F.col("seeks"), hashed(F.col("seeking"))).otherwise(F.col("seeking") + hashed(F.col("sought"))))
+    others = F.sequence(F.lit(0), F.when(F.col("seeks"), F.col("seeking") + F.col("sought")).otherwise(F.col("seeking")) - 1)
+    dealt = dealt.withColumn("other", F.explode(others))
+    dealt = dealt.select(F.xxhash64(*at, F.least("block", "other"), F.greatest("block", "other")).alias("region"), "rep", "group", "block")
+    small = rows.where(F.col("size") <= REGION).select(F.xxhash64(*at, F.lit(-1)).alias("region"), "rep", "group", F.lit(0).alias("block"))
+    every = small.unionByName(dealt)
+    mixed = every.groupBy("region").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high")
+    return every.join(mixed.select("region"), "region")
+
+
 def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row.
 
@@ -209,7 +231,9 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85) -> DataF
     next depth, are compared within parts of the deepest crowded region, dealt anew in each order. In a region every row is paired with its NEIGHBOURS nearest. Pairs are
     confirmed on the full sets of shingle hashes (64 bits), then joined to components. In regions
     with more rows than that, rows of different components are then paired once more, with ACROSS neighbours.
-    Last, every pair of rows of different components in a region that was not tried before is confirmed.
+    Last, every pair of rows of different components that share a region of the first depth and was not
+    tried before is confirmed. There a region of over REGION rows is dealt into blocks and the blocks are compared with each other,
+    so neither a crowd nor nearer rows keep a pair from being tried; only rows of the region's largest component are not compared among themselves.
 
     A text of fewer than `width` words is one shingle. Null, empty and blank texts have no shingles
     and are linked with nothing. Rows without a doc_id take the component of their class (null if
@@ -259,7 +283,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85) -> DataF
         links = links.unionByName(_links(docs, more, width, percent))
         found = components(links)
     tried = pairs.select("a", "b").unionByName(more.select("a", "b"))
-    rest = stage(once(candidates(grouped(members, found).select("region", "rep", "group", whole), None)).join(tried, ["a", "b"], "left_anti"), "rest-pairs")
+    rest = stage(once(candidates(_compared(grouped(shared, found)), None)).join(tried, ["a", "b"], "left_anti"), "rest-pairs")
     if not rest.isEmpty():
         found = components(links.unionByName(_links(docs, rest, width, percent)))
 
