@@ -164,6 +164,14 @@ def test_near_dedup_crowds_are_compared_whole(spark, monkeypatch):
     assert collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in out) == want
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_near_dedup_floor(percent):
+    """A pair just similar enough is below the floor less often than it misses all regions."""
+    p, n = percent / 100, near_dedup.VALUES
+    below = sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(near_dedup.floor(percent)))
+    assert below < (1 - p ** near_dedup.DEPTHS[0]) ** near_dedup.TREES
+
+
 def test_shingles_by_definition():
     import re
 

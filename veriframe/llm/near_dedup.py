@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,19 @@ REGION = 1024
 #: Neighbours of a row in a region that become candidates, the nearest by signature: of all rows,
 #: then, once components are known, of the rows of other components. What they leave is all tried at last.
 NEIGHBOURS, ACROSS = 2, 6
+#: Chance that a pair just similar enough agrees in fewer signature values than candidates must.
+FLOOR_MISS = 1e-7
+
+
+def floor(percent: int) -> int:
+    """Signature values in which candidates agree at least: the most that pairs of this similarity miss by FLOOR_MISS at most."""
+    p, below, least = percent / 100, 0.0, 0
+    while least < VALUES:
+        below += comb(VALUES, least) * p**least * (1 - p) ** (VALUES - least)
+        if below > FLOOR_MISS:
+            break
+        least += 1
+    return least
 
 
 def _signatures(width: int):
@@ -111,10 +125,10 @@ def alike(sig: np.ndarray) -> np.ndarray:
 def _neighbours(percent: int, most: int | None):
     """Candidate pairs of a region: for every row its `most` nearest rows of other groups, or all of them.
 
-    Rows that agree in less than the similarity less 0.16 of their signatures are no candidates, nor are sets whose sizes alone
+    Rows that agree in less than floor() values are no candidates, nor are sets whose sizes alone
     rule the similarity out. In a region of two blocks only rows of different blocks are paired.
     """
-    least = int(np.ceil((percent / 100 - 0.16) * VALUES))
+    least = floor(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a_out, b_out, r_out = [], [], []
