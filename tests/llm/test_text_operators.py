@@ -247,6 +247,14 @@ def test_automaton_against_edit_distance():
             assert (got[0] if got else None) == want, word
 
 
+def test_words_keep_their_edits_beside_stems():
+    rows = [("idio", True, 90, 0), ("idiot", True, 80, 0), ("idiot", False, 70, 0), ("worthless", False, 50, 0), ("wort", True, 60, 1)]
+    terms = toxicity.choose(rows, 100, 100)
+    assert {(t, s) for t, s, _ in terms} == {("idio", True), ("idiot", False), ("wort", True), ("worthless", False)}
+    a = toxicity.Automaton(terms)
+    assert [a.match(w) and a.match(w)[0] for w in ("idiot", "idiots", "idxot", "wxrthlss", "ixxot")] == [0, 0, 1, 2, None]
+
+
 def test_quotation():
     t = 'he said "you idiot" to them'
     assert toxicity.quotation(t, t.index("idiot"), t.index("idiot") + 5) == 1.0

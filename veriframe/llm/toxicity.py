@@ -59,15 +59,18 @@ def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def choose(rows: list[tuple[str, bool, int, int]], n_toxic: int, n_clean: int) -> list[tuple[str, bool, float]]:
-    """(term, is stem, log odds) without terms that a chosen shorter stem covers about as well."""
-    chosen: dict[str, tuple[bool, float, int]] = {}
+    """(term, is stem, log odds) without stems that begin with a chosen shorter one.
+
+    Words stay beside the stems that cover them: a short stem takes no edits, its words do.
+    """
+    chosen: dict[tuple[str, bool], tuple[float, int]] = {}
     for gram, stem, toxic, clean in sorted(rows, key=lambda r: (len(r[0]), r[0], not r[1])):
         odds = math.log((toxic + 0.5) / (n_toxic + 1)) - math.log((clean + 0.5) / (n_clean + 1))
-        if any(gram[:k] in chosen and chosen[gram[:k]][0] for k in range(4, len(gram) + 1)):
+        if stem and any((gram[:k], True) in chosen for k in range(4, len(gram))):
             continue
-        chosen[gram] = (stem, odds, toxic)
-    top = sorted(chosen.items(), key=lambda c: (-c[1][2], c[0]))[:LEXICON]
-    return [(g, stem, odds) for g, (stem, odds, _) in top]
+        chosen[gram, stem] = (odds, toxic)
+    top = sorted(chosen.items(), key=lambda c: (-c[1][1], c[0]))[:LEXICON]
+    return [(g, stem, odds) for (g, stem), (odds, _) in top]
 
 
 # -- automaton ---------------------------------------------------------------------------------
