@@ -154,9 +154,12 @@ def test_near_dedup_outranked_links(spark):
     assert collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in out) == want
 
 
-def test_near_dedup_crowds_are_compared_whole(spark, monkeypatch):
-    """Regions far over REGION rows, with a large component and many rows outside it: no pair is lost to the deepening."""
+@pytest.mark.parametrize("crowd, words", [(16, 1 << 21), (1 << 20, 20_000)])
+def test_near_dedup_crowds_are_compared_whole(spark, monkeypatch, crowd, words):
+    """Regions far over REGION rows, blocks far smaller than a crowd (by rows or by shingles), with a large component and many rows outside it."""
     monkeypatch.setattr(near_dedup, "REGION", 16)
+    monkeypatch.setattr(near_dedup, "CROWD", crowd)
+    monkeypatch.setattr(near_dedup, "CROWD_WORDS", words)
     rows = template_family(80, copies=30)
     want = brute_components(rows)
     assert len({c for _, _, c in want}) == 40
@@ -164,12 +167,48 @@ def test_near_dedup_crowds_are_compared_whole(spark, monkeypatch):
     assert collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in out) == want
 
 
+@pytest.mark.parametrize("n", [600, 3000])
+def test_near_dedup_boilerplate(spark, n):
+    """Texts of 960 common words: every one has one partner at 0.86, all others are at 0.80."""
+    common = [f"w{i}" for i in range(960)]
+    shared, own = 40, 78
+    rows = [(i, " ".join([*common, *(f"p{i // 2}x{k}" for k in range(shared)), *(f"o{i}x{k}" for k in range(own))])) for i in range(n)]
+    a, b, c = (shingle_set(t) for _, t in rows[:3])
+    alike = [len(np.intersect1d(a, x)) / len(np.union1d(a, x)) for x in (b, c)]
+    assert alike[0] >= 0.85 > alike[1] > 0.79
+    out = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in out} == {i: i - i % 2 for i in range(n)}
+
+
 @pytest.mark.parametrize("percent", [80, 85])
-def test_near_dedup_floor(percent):
-    """A pair just similar enough is below the floor less often than it misses all regions."""
-    p, n = percent / 100, near_dedup.VALUES
+def test_near_dedup_misses(percent):
+    """The chance that a pair just similar enough shares no region, or agrees in fewer values than the floor."""
+    p, n = percent / 100, near_dedup.STRIDE * near_dedup.trees(percent)
     below = sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(near_dedup.floor(percent)))
-    assert below < (1 - p ** near_dedup.DEPTHS[0]) ** near_dedup.TREES
+    assert below <= near_dedup.FLOOR_MISS and (1 - p**near_dedup.STRIDE) ** near_dedup.trees(percent) <= near_dedup.FOREST_MISS
+
+
+def test_near_dedup_candidates_stand_side_by_side():
+    for n in (2, 8, 9, 1000):
+        pairs = list(near_dedup.beside(n))
+        assert len(set(pairs)) == len(pairs) and all(0 <= i < j < n for i, j in pairs)
+        assert len(pairs) == n * (n - 1) // 2 if n <= near_dedup.SMALL else len(pairs) < near_dedup.BESIDE * n
+
+
+def test_crowd_counts_with_and_without_a_table(monkeypatch):
+    import pyarrow as pa
+
+    sets = [shingle_set(t) for _, t in template_family(20)]
+    sig = [near_dedup.MinHash(80)(x).astype("<u4").tobytes() for x in sets]
+    for table in (1 << 25, 1):
+        monkeypatch.setattr(near_dedup, "_TABLE", table)
+        t = pa.table({"block": [0] * 8 + [1] * 12, "tree": [0] * 20, "sig": sig, "group": list(range(20)), "n": [len(x) for x in sets]})
+        crowd = near_dedup.Crowd(t, 85)
+        assert crowd.open.shape == (8, 12)
+        for i, partners, both in crowd.counts(sets):
+            assert [len(np.intersect1d(sets[i], sets[j])) for j in partners] == both.tolist()
+    t = t.set_column(1, "tree", pa.array([19] * 20))
+    assert near_dedup.Crowd(t, 85).open.sum() < crowd.open.sum()  # pairs that met in an earlier order
 
 
 def test_shingles_by_definition():

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import stage
+from ._common import stage, unstage
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -30,7 +30,8 @@ def components(links: DataFrame) -> DataFrame:
         large = stage(large.where("u <> v"), "large-star")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
-        edges = stage(small.where("u <> v").distinct(), "small-star")
+        done, edges = edges, stage(small.where("u <> v").distinct(), "small-star")
+        unstage(done, large)
         now = _state(edges)
         if now == before:
             break

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import comb
+from math import ceil, comb, log
 
 import numpy as np
 import pyarrow as pa
@@ -11,38 +11,45 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import only, stage, table
+from ._common import only, stage, table, unstage
 from .components import components
 from .shingles import MinHash, common, mix, shingle_set
 
-#: The forest: TREES sorted orders of one signature, each starting STRIDE values further on.
-TREES, STRIDE = 20, 4
-VALUES = TREES * STRIDE
+#: Values of an order that rows of a region share at least; every order starts so many values further on.
+STRIDE = 4
 #: Depths at which regions of an order may be told apart; a region is deepened until it holds REGION rows at most.
-DEPTHS = (4, 7, 11, 18, 30)
+DEPTHS = (STRIDE, 7, 11, 18, 30)
 REGION = 1024
-#: Neighbours of a row in a region that become candidates, the nearest by signature: of all rows,
-#: then, once components are known, of the rows of other components. What they leave is all tried at last.
-NEIGHBOURS, ACROSS = 2, 6
-#: Chance that a pair just similar enough agrees in fewer signature values than candidates must.
-FLOOR_MISS = 1e-7
+#: Neighbours on either side of a row in the sorted order of its region. Up to SMALL rows all are neighbours.
+BESIDE, SMALL = 2, 8
+#: Chance that a pair just similar enough shares no region of any order, and that it is below floor().
+FOREST_MISS, FLOOR_MISS = 5e-7, 1e-7
+#: Rows and shingles of a block, the unit in which crowds are compared.
+CROWD, CROWD_WORDS = 512, 1 << 21
+#: Cells of the table in which a block's sets are counted.
+_TABLE = 1 << 25
+
+
+def trees(percent: int) -> int:
+    """Orders of the forest: the fewest that share no region with a chance of FOREST_MISS at most."""
+    return ceil(log(FOREST_MISS) / log(1 - min(percent / 100, 0.999) ** STRIDE))
 
 
 def floor(percent: int) -> int:
     """Signature values in which candidates agree at least: the most that pairs of this similarity miss by FLOOR_MISS at most."""
-    p, below, least = percent / 100, 0.0, 0
-    while least < VALUES:
-        below += comb(VALUES, least) * p**least * (1 - p) ** (VALUES - least)
+    p, n, below, least = percent / 100, STRIDE * trees(percent), 0.0, 0
+    while least < n:
+        below += comb(n, least) * p**least * (1 - p) ** (n - least)
         if below > FLOOR_MISS:
             break
         least += 1
     return least
 
 
-def _signatures(width: int):
+def _signatures(width: int, values: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only("shingles")
-        minhash = MinHash(VALUES)
+        minhash = MinHash(values)
         for batch in batches:
             n, digest, sig = [], [], []
             for text in batch.column("text"):
@@ -60,12 +67,17 @@ def _matrix(column) -> np.ndarray:
     return np.frombuffer(b"".join(rows), "<u4").reshape(len(rows), -1)
 
 
+def turned(sig: np.ndarray, tree: int) -> np.ndarray:
+    """The values of signatures in the order of a tree."""
+    return np.roll(sig, -tree * STRIDE, axis=1)
+
+
 def prefix_keys(sig: np.ndarray, tree: int, depths: tuple[int, ...]) -> np.ndarray:
     """Hash of the first values of an order, for every row and depth."""
-    turned = np.roll(sig, -tree * STRIDE, axis=1).astype(np.uint64)
+    values = turned(sig, tree).astype(np.uint64)
     h, out = np.zeros(len(sig), np.uint64), []
     for i in range(max(depths)):
-        h = mix(h + turned[:, i] + np.uint64((i + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
+        h = mix(h + values[:, i % values.shape[1]] + np.uint64((i + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
         if i + 1 in depths:
             out.append(h.view(np.int64))
     return np.stack(out, axis=1)
@@ -75,7 +87,7 @@ def _shallow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if len(batch):
             sig, rep = _matrix(batch.column("sig")), batch.column("rep")
-            for tree in range(TREES):
+            for tree in range(sig.shape[1] // STRIDE):
                 keys = prefix_keys(sig, tree, DEPTHS[:1])[:, 0]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sig), tree, np.int32)), pa.array(keys), rep], ["tree", "key", "rep"])
 
@@ -84,9 +96,9 @@ def _deep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for every level of rows of crowded regions."""
     for batch in batches:
         if len(batch):
-            sig, trees, rep = _matrix(batch.column("sig")), batch.column("tree").to_numpy(), batch.column("rep").to_numpy()
-            for tree in np.unique(trees):
-                rows = np.flatnonzero(trees == tree)
+            sig, of, rep = _matrix(batch.column("sig")), batch.column("tree").to_numpy(), batch.column("rep").to_numpy()
+            for tree in np.unique(of):
+                rows = np.flatnonzero(of == tree)
                 keys = prefix_keys(sig[rows], int(tree), DEPTHS)
                 level = np.tile(np.arange(len(DEPTHS), dtype=np.int32), len(rows))
                 yield pa.RecordBatch.from_arrays(
@@ -114,47 +126,37 @@ def groups_of(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]
         yield pa.Table.from_batches(held)
 
 
-def alike(sig: np.ndarray) -> np.ndarray:
-    """Number of equal values of every two rows."""
-    out = np.zeros((len(sig), len(sig)), np.uint8)
-    for column in sig.T:
-        out += column[:, None] == column[None, :]
-    return out
+def beside(n: int) -> Iterator[tuple[int, int]]:
+    """Places (i, j), i < j, of neighbours among n sorted rows."""
+    reach = n - 1 if n <= SMALL else BESIDE
+    for step in range(1, reach + 1):
+        for i in range(n - step):
+            yield i, i + step
 
 
-def _neighbours(percent: int, most: int | None):
-    """Candidate pairs of a region: for every row its `most` nearest rows of other groups, or all of them.
+def _neighbours(percent: int):
+    """Candidate pairs of a region: rows that stand next to each other in its sorted order.
 
-    Rows that agree in less than floor() values are no candidates, nor are sets whose sizes alone
-    rule the similarity out. In a region of two blocks only rows of different blocks are paired.
+    Next to a row in the order of the turned signature stand those of the longest common prefixes with it.
+    Rows that agree in less than floor() values are no candidates, nor are sets whose sizes alone rule the
+    similarity out. Pairs of a region with very long sets are dealt to parts of it, along the order.
     """
     least = floor(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a_out, b_out, r_out = [], [], []
         for t in groups_of(batches, "region"):
-            group = t.column("group").to_numpy()
-            if len(t) < 2 or (group == group[0]).all():
-                continue
-            sig, rep = _matrix(t.column("sig")), t.column("rep").to_numpy()
-            same = alike(sig)
-            same[group[:, None] == group[None, :]] = 0
-            n, block = t.column("n").to_numpy(), t.column("block").to_numpy()
-            same[100 * n[:, None] < percent * n[None, :]] = 0
-            same[100 * n[None, :] < percent * n[:, None]] = 0
-            if (block != block[0]).any():
-                same[block[:, None] == block[None, :]] = 0
-            near = same >= least
-            if most is not None and len(t) > most + 1:
-                kth = np.partition(same, len(t) - most, axis=1)[:, len(t) - most]
-                near &= same >= kth[:, None]
-            _, at, sizes = np.unique(group, return_inverse=True, return_counts=True)
-            if sizes.max() > 1:  # the largest group is looked for by the others and need not look for them
-                near[at == np.argmax(sizes)] = False
-            i, j = np.nonzero(np.triu(near | near.T))
+            sig, rep, n = _matrix(t.column("sig")), t.column("rep").to_numpy(), t.column("n").to_numpy()
+            order = np.lexsort(turned(sig, t.column("tree")[0].as_py()).T[::-1])
+            sig, rep, n = sig[order], rep[order], n[order]
+            part = np.cumsum(n) // CROWD_WORDS
+            places = np.array(list(beside(len(rep))), np.int64).reshape(-1, 2)
+            i, j = places[:, 0], places[:, 1]
+            fits = (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])) & ((sig[i] == sig[j]).sum(1) >= least)
+            i, j = i[fits], j[fits]
             a_out += np.minimum(rep[i], rep[j]).tolist()
             b_out += np.maximum(rep[i], rep[j]).tolist()
-            r_out += [t.column("region")[0].as_py()] * len(i)
+            r_out += mix(np.full(len(i), t.column("region")[0].as_py(), np.int64).view(np.uint64) + part[i].astype(np.uint64)).view(np.int64).tolist()
             if len(a_out) > 50_000:
                 yield pa.RecordBatch.from_pydict({"a": a_out, "b": b_out, "region": r_out})
                 a_out, b_out, r_out = [], [], []
@@ -173,6 +175,24 @@ def _sets(width: int):
     return run
 
 
+class Joined:
+    """Which rows are joined already."""
+
+    def __init__(self):
+        self.root: dict = {}
+
+    def find(self, x):
+        root = self.root
+        root.setdefault(x, x)
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    def join(self, a, b) -> None:
+        self.root[self.find(a)] = self.find(b)
+
+
 def _confirm(percent: int):
     """Links of a region that hold on the full sets; pairs that are connected already are left out."""
 
@@ -180,20 +200,13 @@ def _confirm(percent: int):
         a_out, b_out = [], []
         for t in groups_of(batches, "region"):
             sets = {r: np.frombuffer(w, np.uint64) for r, w in zip(t.column("rep").to_pylist(), t.column("words").to_pylist())}
-            root = {r: r for r in sets}
-
-            def find(x):
-                while root[x] != x:
-                    root[x] = root[root[x]]
-                    x = root[x]
-                return x
-
+            joined = Joined()
             for a, partners in zip(t.column("rep").to_pylist(), t.column("partners").to_pylist()):
                 for b in partners:
-                    if find(a) != find(b):
+                    if joined.find(a) != joined.find(b):
                         both = common(sets[a], sets[b])
                         if 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
-                            root[find(a)] = find(b)
+                            joined.join(a, b)
                             a_out.append(a)
                             b_out.append(b)
         yield pa.RecordBatch.from_pydict({"a": pa.array(a_out, pa.int64()), "b": pa.array(b_out, pa.int64())})
@@ -201,70 +214,166 @@ def _confirm(percent: int):
     return run
 
 
+def _sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(rep, words) of the wanted rows (rep)."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(wanted.distinct().hint("merge"), "rep", "left_semi")
+    return texts.mapInArrow(_sets(width), "rep long, words binary")
+
+
 def _links(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """Links among staged candidate pairs (a, b, region): each text once, its set once for each region."""
     asked = pairs.groupBy("region", F.col("a").alias("rep")).agg(F.collect_list("b").alias("partners"))
     ends = pairs.select("region", F.col("b").alias("rep"), F.array().cast("array<long>").alias("partners"))
     sides = asked.unionByName(ends).groupBy("region", "rep").agg(F.flatten(F.collect_list("partners")).alias("partners"))
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(wanted.hint("merge"), "rep", "left_semi")
-    sets = texts.mapInArrow(_sets(width), "rep long, words binary")
+    sets = _sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("rep")), width)
     met = sides.join(sets.hint("merge"), "rep").select("region", "rep", "partners", "words")
     return stage(met.repartition("region").sortWithinPartitions("region").mapInArrow(_confirm(percent), "a long, b long"), "confirmed")
 
 
-def _compared(rows: DataFrame) -> DataFrame:
-    """(region, rep, group, block) of all that is to be compared, from rows (tree, key, rep, size, group).
+class Crowd:
+    """A block of a crowd, or two blocks to be compared with each other, and the pairs in it that are still open."""
+
+    def __init__(self, t: pa.Table, percent: int):
+        block = t.column("block").to_numpy()
+        self.left = np.flatnonzero(block == block.min())
+        self.right = np.flatnonzero(block == block.max())
+        self.sig, self.group, self.n = _matrix(t.column("sig")), t.column("group").to_numpy(), t.column("n").to_numpy()
+        self.open = self._open(t.column("tree")[0].as_py(), percent)
+
+    def _open(self, tree: int, percent: int) -> np.ndarray:
+        """Left rows by right rows: candidates of different groups that share no region of an earlier order."""
+        a, b = self.sig[self.left], self.sig[self.right]
+        m, n = self.n[self.left][:, None], self.n[self.right][None, :]
+        fits = (self.group[self.left][:, None] != self.group[self.right][None, :]) & (100 * np.minimum(m, n) >= percent * np.maximum(m, n))
+        if not fits.any():
+            return fits
+        same = np.zeros(fits.shape, np.uint16)
+        for order in range(a.shape[1] // STRIDE):
+            met = np.zeros(fits.shape, np.uint8)
+            for k in range(order * STRIDE, (order + 1) * STRIDE):
+                met += a[:, k, None] == b[None, :, k]
+            same += met
+            if order < tree:
+                fits &= met < STRIDE
+        fits &= same >= floor(percent)
+        if len(self.left) == len(self.right) and (self.left == self.right).all():
+            fits = np.triu(fits, 1)
+        return fits
+
+    def counts(self, sets: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(left row, right rows it is open with, sizes of the intersections)."""
+        of, sought = np.flatnonzero(self.open.any(1)), np.flatnonzero(self.open.any(0))
+        if not len(of):
+            return
+        inverted = None
+        words = np.unique(np.concatenate([sets[self.right[j]] for j in sought]))
+        if len(words) * len(sought) <= _TABLE:
+            inverted = np.zeros((len(words), len(sought)), np.uint8)
+            for place, j in enumerate(sought):
+                inverted[np.searchsorted(words, sets[self.right[j]]), place] = 1
+        for i in of:
+            own, partners = sets[self.left[i]], np.flatnonzero(self.open[i])
+            if inverted is None:
+                both = np.array([common(own, sets[self.right[j]]) for j in partners])
+            else:
+                at = np.minimum(np.searchsorted(words, own), len(words) - 1)
+                both = inverted[at[words[at] == own]].sum(0, dtype=np.int64)[np.searchsorted(sought, partners)]
+            yield self.left[i], self.right[partners], both
+
+
+_ROW = "tree int, key long, rep long, group long, n long"
+
+
+def _open_rows(percent: int):
+    """The rows of a crowd that are still open with another one."""
 
-    A region of over REGION rows becomes a region for every two blocks of about REGION / 2 rows, save
-    those of its largest group alone. Regions of a single group are left out.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in groups_of(batches, "region"):
+            crowd = Crowd(t, percent)
+            rows = np.union1d(crowd.left[crowd.open.any(1)], crowd.right[crowd.open.any(0)])
+            if len(rows):
+                yield from t.select(["tree", "key", "rep", "group", "n"]).take(pa.array(rows)).combine_chunks().to_batches()
+
+    return run
+
+
+def _crossing(percent: int):
+    """Links between different groups of a crowd; pairs that are connected already are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a_out, b_out = [], []
+        for t in groups_of(batches, "region"):
+            crowd, joined = Crowd(t, percent), Joined()
+            sets, rep = [np.frombuffer(w, np.uint64) for w in t.column("words").to_pylist()], t.column("rep").to_numpy()
+            for i, partners, both in crowd.counts(sets):
+                for j in partners[100 * both >= percent * (crowd.n[i] + crowd.n[partners] - both)]:
+                    if joined.find(crowd.group[i]) != joined.find(crowd.group[j]):
+                        joined.join(crowd.group[i], crowd.group[j])
+                        a_out.append(int(rep[i]))
+                        b_out.append(int(rep[j]))
+        yield pa.RecordBatch.from_pydict({"a": pa.array(a_out, pa.int64()), "b": pa.array(b_out, pa.int64())})
+
+    return run
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """(region, block) added to rows (tree, key, rep, group, n) of crowds with different groups; other crowds are left out.
+
+    A crowd of more than a block becomes a region for every two blocks, save those of its largest group alone.
     """
     at = ["tree", "key"]
-    crowded = rows.where(F.col("size") > REGION)
-    top = crowded.groupBy(*at, "group").agg(F.count("*").alias("members")).groupBy(*at).agg(F.max(F.struct("members", "group")).alias("top"), F.sum("members").alias("all"))
-    blocks = lambda n: F.ceil(2 * n / F.lit(REGION)).cast("int")
-    dealt = crowded.join(top.where("all > top.members"), at).withColumns({"seeking": blocks(F.col("all") - F.col("top.members")), "sought": blocks(F.col("top.members")), "seeks": F.col("group") != F.col("top.group")})
-    hashed = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
-    dealt = dealt.withColumn("block", F.when(F.col("seeks"), hashed(F.col("seeking"))).otherwise(F.col("seeking") + hashed(F.col("sought"))))
-    others = F.sequence(F.lit(0), F.when(F.col("seeks"), F.col("seeking") + F.col("sought")).otherwise(F.col("seeking")) - 1)
-    dealt = dealt.withColumn("other", F.explode(others))
-    dealt = dealt.select(F.xxhash64(*at, F.least("block", "other"), F.greatest("block", "other")).alias("region"), "rep", "group", "block")
-    small = rows.where(F.col("size") <= REGION).select(F.xxhash64(*at, F.lit(-1)).alias("region"), "rep", "group", F.lit(0).alias("block"))
-    every = small.unionByName(dealt)
-    mixed = every.groupBy("region").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high")
-    return every.join(mixed.select("region"), "region")
+    groups = rows.groupBy(*at, "group").agg(F.count("*").alias("members"), F.sum("n").alias("words"))
+    stats = groups.groupBy(*at).agg(
+        F.count("*").alias("groups"), F.sum("members").alias("members"), F.sum("words").alias("words"), F.max(F.struct("members", "group", "words")).alias("top")
+    )
+    blocks = lambda members, words: F.greatest(F.ceil(members / F.lit(CROWD)), F.ceil(words / F.lit(CROWD_WORDS))).cast("int")
+    stats = stats.where("groups > 1").select(
+        *at, F.col("top.group").alias("largest"), blocks(F.col("members"), F.col("words")).alias("whole"),
+        blocks(F.col("members") - F.col("top.members"), F.col("words") - F.col("top.words")).alias("seeking"), blocks(F.col("top.members"), F.col("top.words")).alias("sought"),
+    )
+    hashed = lambda n: F.pmod(F.xxhash64("rep", F.lit(1)), n).cast("int")
+    seeks = F.col("group") != F.col("largest")
+    block = F.when(F.col("whole") < 2, 0).when(seeks, hashed(F.col("seeking"))).otherwise(F.col("seeking") + hashed(F.col("sought")))
+    last = F.when(F.col("whole") < 2, 0).when(seeks, F.col("seeking") + F.col("sought") - 1).otherwise(F.col("seeking") - 1)
+    met = rows.join(stats, at).withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    return met.select(*rows.columns, F.xxhash64(*at, F.least("block", "other"), F.greatest("block", "other")).alias("region"), "block")
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row.
 
     Rows with equal shingle sets are one class, known by its smallest doc_id; only one row of a
-    class goes on. Each of TREES orders of a class's signature starts at other values. Rows with
+    class goes on. Each of trees() orders of a class's signature starts at other values. Rows with
     the same first values in an order form a region; a region of over REGION rows is told apart
-    further on in its order, region by region. Rows that no depth tells apart, and rows that are alone at the
-    next depth, are compared within parts of the deepest crowded region, dealt anew in each order. In a region every row is paired with its NEIGHBOURS nearest. Pairs are
-    confirmed on the full sets of shingle hashes (64 bits), then joined to components. In regions
-    with more rows than that, rows of different components are then paired once more, with ACROSS neighbours.
-    Last, every pair of rows of different components that share a region of the first depth and was not
-    tried before is confirmed. There a region of over REGION rows is dealt into blocks and the blocks are compared with each other,
-    so neither a crowd nor nearer rows keep a pair from being tried; only rows of the region's largest component are not compared among themselves.
+    further on in its order, region by region. The rows of a region are sorted by the order, and a row's
+    neighbours in it, which have the longest prefixes in common with it, are its candidates. Pairs are
+    confirmed on the full sets of shingle hashes (64 bits), then joined to components. So candidates are
+    in proportion to the rows.
+
+    What neighbours miss is then found exactly: every pair of rows of different components that share a region of
+    the first depth, and agree in floor() values, is compared on the full sets, in the first order in which they share one.
+    That takes two passes over blocks of CROWD rows, which give back rows or links, never pairs: one over
+    signatures alone, for the rows that are open with any other, and one over the sets of those. Neither a crowd
+    nor nearer rows keep a pair from being compared; only rows of a region's largest component are not compared among themselves.
 
     A text of fewer than `width` words is one shingle. Null, empty and blank texts have no shingles
     and are linked with nothing. Rows without a doc_id take the component of their class (null if
-    it has none) and are kept only then. Repeated rows share everything. Only doc_id and text are read.
+    it has none) and are kept only then. Repeated rows share everything. Very long texts are whole sets; blocks are
+    bounded by shingles too. An empty table gives an empty result. Only doc_id and text are read.
 
     Shuffled: signatures by class, one narrow row a tree and class, the signatures of shared
     regions, texts to find those of candidates, and their sets once for each region in
-    which a pair of theirs was found first. No group beyond REGION rows meets in a task.
+    which a pair of theirs is compared.
     """
-    signed = stage(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_signatures(width), "doc_id long, n long, digest binary, sig binary"), "signatures")
+    signature = _signatures(width, STRIDE * trees(percent))
+    signed = stage(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(signature, "doc_id long, n long, digest binary, sig binary"), "signatures")
     classes = stage(signed.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
     reps = classes.where("rep IS NOT NULL").select("rep", "n", "sig")
 
     shallow = reps.mapInArrow(_shallow, "tree int, key long, rep long")
     crowd = shallow.groupBy("tree", "key").agg(F.count("*").alias("size")).where("size > 1")
     shared = stage(shallow.join(crowd, ["tree", "key"]).select("tree", "key", "rep", "size"), "regions")
-    settled = shared.where(F.col("size") <= REGION).select(F.xxhash64("tree", F.lit(0), "key").alias("region"), "rep", "size")
+    settled = shared.where(F.col("size") <= REGION).select("tree", F.xxhash64("tree", F.lit(0), "key").alias("region"), "rep")
     crowded = shared.where(F.col("size") > REGION).join(reps, "rep").select("tree", "rep", "sig")
     levels = stage(crowded.mapInArrow(_deep, "tree int, level int, key long, rep long"), "levels")
     sizes = levels.groupBy("tree", "level", "key").agg(F.count("*").alias("size"))
@@ -274,32 +383,26 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85) -> DataF
     chosen = chosen.select("tree", "rep", F.coalesce("fit", "big").alias("at")).select("tree", "rep", "at.*")
     # What no depth tells apart, or leaves alone, stays in a part of its deepest crowded region, another in every tree.
     part = F.when(F.col("size") > REGION, F.pmod(F.xxhash64("rep", "tree"), F.ceil(2 * F.col("size") / REGION))).otherwise(F.lit(-1))
-    told = chosen.select(F.xxhash64("tree", "level", "key", part).alias("region"), "rep", F.least("size", F.lit(REGION)).alias("size"))
-
-    def candidates(members: DataFrame, most: int | None) -> DataFrame:
-        rows = members.join(reps, "rep").select("region", "rep", "group", "block", "n", "sig")
-        return rows.repartition("region").sortWithinPartitions("region").mapInArrow(_neighbours(percent, most), "a long, b long, region long")
-
-    def once(pairs: DataFrame) -> DataFrame:
-        return pairs.groupBy("a", "b").agg(F.min("region").alias("region"))
-
-    def grouped(rows: DataFrame, found: DataFrame) -> DataFrame:
-        return rows.join(found, F.col("rep") == F.col("id"), "left").withColumn("group", F.coalesce("component", "rep")).drop("id", "component")
+    told = chosen.select("tree", F.xxhash64("tree", "level", "key", part).alias("region"), "rep")
 
-    whole = F.lit(0).alias("block")
-    members = settled.unionByName(told)
-    pairs = stage(once(candidates(members.select("region", "rep", F.col("rep").alias("group"), whole), NEIGHBOURS)), "pairs")
+    sorted_rows = settled.unionByName(told).join(reps, "rep").select("tree", "region", "rep", "n", "sig").repartition("region").sortWithinPartitions("region")
+    pairs = sorted_rows.mapInArrow(_neighbours(percent), "a long, b long, region long")
+    pairs = stage(pairs.groupBy("a", "b").agg(F.min("region").alias("region")), "pairs")
     links = _links(docs, pairs, width, percent)
-    found = components(links)
-    large = grouped(members.where(F.col("size") > NEIGHBOURS + 1), found).select("region", "rep", "group", whole)
-    more = stage(once(candidates(large, ACROSS)).join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "more-pairs")
-    if not more.isEmpty():
-        links = links.unionByName(_links(docs, more, width, percent))
-        found = components(links)
-    tried = pairs.select("a", "b").unionByName(more.select("a", "b"))
-    rest = stage(once(candidates(_compared(grouped(shared, found)), None)).join(tried, ["a", "b"], "left_anti"), "rest-pairs")
-    if not rest.isEmpty():
-        found = components(links.unionByName(_links(docs, rest, width, percent)))
+    found = stage(components(links), "components")
+
+    crowds = shared.where(F.col("size") > SMALL).join(found, F.col("rep") == F.col("id"), "left")
+    crowds = _dealt(crowds.select("tree", "key", "rep", F.coalesce("component", "rep").alias("group"), F.lit(0).cast("long").alias("n")))
+    signs = crowds.drop("n").join(reps, "rep").select("region", "block", "tree", "key", "rep", "group", "n", "sig")
+    left = stage(signs.repartition("region").sortWithinPartitions("region").mapInArrow(_open_rows(percent), _ROW).distinct(), "open-rows")
+    if not left.isEmpty():
+        sets = _sets_of(docs, left.select("rep"), width).join(reps.select("rep", "sig"), "rep")
+        met = _dealt(left).join(sets.hint("merge"), "rep").select("region", "block", "tree", "group", "rep", "n", "sig", "words")
+        crossing = stage(met.repartition("region").sortWithinPartitions("region").mapInArrow(_crossing(percent), "a long, b long"), "crossing")
+        joined = stage(components(links.unionByName(crossing)), "components")
+        unstage(crossing, found)
+        found = joined
+    unstage(shared, levels, pairs, links, left)
 
     named = classes.select("digest", "rep").join(found, F.col("rep") == F.col("id"), "left").select("digest", F.coalesce("component", "rep").alias("c"))
     out = signed.select("doc_id", "n", "digest").join(named, "digest", "left")
