@@ -376,7 +376,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85) -> DataF
     settled = shared.where(F.col("size") <= REGION).select("tree", F.xxhash64("tree", F.lit(0), "key").alias("region"), "rep")
     crowded = shared.where(F.col("size") > REGION).join(reps, "rep").select("tree", "rep", "sig")
     levels = stage(crowded.mapInArrow(_deep, "tree int, level int, key long, rep long"), "levels")
-    sizes = levels.groupBy("tree", "level", "key").agg(F.count("*").alias("size"))
+    sizes = stage(levels.groupBy("tree", "level", "key").agg(F.count("*").alias("size")), "sizes")
     sized = levels.join(sizes, ["tree", "level", "key"]).where("size > 1")
     at = F.struct("level", "key", "size")
     chosen = sized.groupBy("tree", "rep").agg(F.min(F.when(F.col("size") <= REGION, at)).alias("fit"), F.max(F.when(F.col("size") > REGION, at)).alias("big"))
@@ -402,7 +402,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85) -> DataF
         joined = stage(components(links.unionByName(crossing)), "components")
         unstage(crossing, found)
         found = joined
-    unstage(shared, levels, pairs, links, left)
+    unstage(shared, levels, sizes, pairs, links, left)
 
     named = classes.select("digest", "rep").join(found, F.col("rep") == F.col("id"), "left").select("digest", F.coalesce("component", "rep").alias("c"))
     out = signed.select("doc_id", "n", "digest").join(named, "digest", "left")
