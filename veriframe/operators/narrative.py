@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.periods import month_name
-from ..functions.text import expand_sentence, indonesian_number, let, locate_anchor, normalise_ws, strip, tokens
+from ..functions.text import expand_sentence, indonesian_number, let, locate_anchor, normalise_ws, scan_array, strip, tokens
 
 MARKER = r"\[== Halaman (\d+) ==\]"
 MAX_CHUNK = 6000
@@ -103,15 +103,16 @@ def chunk_pages(blocks: DataFrame, key: str = "doc_id", order: str = "block_no",
 
     Sizes alone are folded, an array of numbers a document; a block over the limit is a chunk by itself.
     """
-    sizes = blocks.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.length("text").alias("n")))).alias("b"))
-    zero = F.struct(F.lit(0).alias("used"), F.lit(-1).alias("chunk"), F.array().cast("array<struct<o:int,chunk:int>>").alias("out"))
+    sizes = blocks.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).cast("int").alias("o"), F.coalesce(F.length("text"), F.lit(0)).alias("n")))).alias("b"))
+    zero = F.struct(F.lit(0).alias("used"), F.lit(-1).alias("chunk"))
 
     def step(a: Column, b: Column) -> Column:
         new = (a["chunk"] < 0) | (a["used"] + b["n"] > max_chars)
-        chunk = F.when(new, a["chunk"] + 1).otherwise(a["chunk"])
-        return F.struct(F.when(new, b["n"]).otherwise(a["used"] + b["n"]).alias("used"), chunk.alias("chunk"), F.array_append(a["out"], F.struct(b["o"].cast("int").alias("o"), chunk.alias("chunk"))).alias("out"))
+        return F.struct(F.when(new, b["n"]).otherwise(a["used"] + b["n"]).alias("used"), F.when(new, a["chunk"] + 1).otherwise(a["chunk"]).alias("chunk"))
 
-    return sizes.select(key, F.inline(F.aggregate("b", zero, step)["out"])).select(key, F.col("o").alias(order), F.col("chunk").alias("chunk_no"))
+    chunks = scan_array(F.col("b"), zero, step, lambda a: a["chunk"], "int")
+    placed = sizes.withColumn("c", chunks).select(key, F.inline(F.arrays_zip("b", "c")))
+    return placed.select(key, F.col("b.o").alias(order), F.col("c").alias("chunk_no"))
 
 
 def finalise_facts(raw: DataFrame, texts: DataFrame, key: str = "doc_id") -> DataFrame:

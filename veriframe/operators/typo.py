@@ -1,7 +1,7 @@
 """Spelling and grammar checks of page-marked text against a dictionary.
 
-Order inside a text matters: a doubled word and a separated prefix consume their second token. Both
-are decided by windows over runs of tokens, so a document needs no sequential scan.
+Order inside a text matters: a doubled word and a separated prefix consume their second token. Tokens see their
+neighbours inside their row, before they are exploded; only the few tokens that may open a pair are windowed.
 """
 
 from __future__ import annotations
@@ -9,10 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import strip
+from ..functions.text import running_sums, strip
 
 WORD = "[A-Za-z]+(?:-[A-Za-z]+)*"
 RADIUS = 60
+#: Words of a dictionary that is sent to all executors; a larger one is joined by shuffles.
+BROADCAST_WORDS = 1_000_000
 # Non-standard words and their standard forms; month names that are no fragments.
 STANDARD = {
     "resiko": "risiko", "aktifitas": "aktivitas", "aktifitasnya": "aktivitasnya", "jaman": "zaman", "ijin": "izin",
@@ -28,24 +30,31 @@ MONTHS = (
 )
 
 
-def tokenise(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+#: Neighbours of a token: places of words, and of the gaps behind them, from it.
+AROUND = {"w-2": -2, "w-1": -1, "w1": 1, "w2": 2}
+GAPS = {"g-2": -2, "g-1": -1, "gap": 0, "g1": 1}
+
+
+def tokenise(docs: DataFrame, key: str = "doc_id", text: str = "text", around: bool = False) -> DataFrame:
     """(key, pos, word, start, end, gap): tokens with half-open offsets and the marks up to the next token.
 
-    Offsets come from the lengths of words and gaps, summed along the array inside the row.
+    Offsets are running sums of the lengths of words and gaps inside the row. With around, also the words and gaps next to each token.
     """
     words = F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0))
     gaps = F.split(F.col(text), WORD)  # gaps[i] stands before words[i]
     arrays = docs.select(key, words.alias("w"), gaps.alias("g")).where(F.size("w") > 0)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
-    length = lambda i: F.length(F.element_at("w", i))
+    ends = running_sums(F.transform("w", lambda w, i: F.length(w) + F.length(F.get("g", i))))
 
-    def step(a: Column, i: Column) -> Column:
-        start = a["at"] + F.length(F.element_at("g", i))
-        return F.struct((start + length(i)).alias("at"), F.array_append(a["starts"], start).alias("starts"))
+    def token(w: Column, i: Column) -> Column:
+        parts = [w.alias("word"), F.get("e", i).alias("end"), F.coalesce(F.get("g", i + 1), F.lit("")).alias("gap")]
+        if around:
+            parts += [F.get("w", i + d).alias(n) for n, d in AROUND.items()]
+            parts += [F.when((i + d >= 0) & (i + d < F.size("w")), F.get("g", i + d + 1)).alias(n) for n, d in GAPS.items() if d]
+        return F.struct(*parts)
 
-    starts = F.aggregate(F.sequence(F.lit(1), F.size("w")), zero, step)["starts"]
-    rows = arrays.withColumn("s", starts).select(key, "g", F.posexplode(F.arrays_zip("w", "s")).alias("pos", "t"))
-    return rows.select(key, "pos", F.col("t.w").alias("word"), F.col("t.s").alias("start"), (F.col("t.s") + F.length("t.w")).alias("end"), F.coalesce(F.try_element_at("g", F.col("pos") + 2), F.lit("")).alias("gap"))
+    rows = arrays.withColumn("e", ends).select(key, F.posexplode(F.transform("w", token)).alias("pos", "t"))
+    more = [F.col("t").getField(n).alias(n) for n in (*AROUND, *GAPS) if around and n != "gap"]
+    return rows.select(key, "pos", F.col("t.word"), (F.col("t.end") - F.length("t.word")).alias("start"), F.col("t.end"), F.col("t.gap"), *more)
 
 
 def strip_markers(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -59,15 +68,11 @@ def strip_markers(docs: DataFrame, key: str = "doc_id", text: str = "text") -> t
     return whole, spans
 
 
-def _is_word(tokens: DataFrame, dictionary: DataFrame, exprs: dict[str, Column]) -> DataFrame:
-    """tokens with a boolean for each expression: whether the joined letters are a dictionary word or a month."""
-    known = dictionary.select(F.lower("word").alias("__w")).unionByName(dictionary.sparkSession.createDataFrame([(m,) for m in MONTHS], "__w string")).distinct()
-    asked = F.array_distinct(F.array_compact(F.array(*exprs.values())))
-    hits = tokens.withColumn("__w", F.explode(asked)).select("__w").distinct().join(known, "__w", "left_semi")
-    keys = [c for c in ("doc_id", "pos") if c in tokens.columns]
-    found = tokens.select(*keys, F.explode(asked).alias("__w")).join(hits, "__w").groupBy(*keys).agg(F.collect_set("__w").alias("__hits"))
-    out = tokens.join(found, keys, "left")
-    return out.withColumns({n: F.coalesce(F.array_contains("__hits", e), F.lit(False)) for n, e in exprs.items()}).drop("__hits")
+def _known(dictionary: DataFrame) -> DataFrame:
+    """(known): distinct lower-case words and months, to be sent to all executors if they are few enough."""
+    words = dictionary.select(F.lower("word").alias("known")).where("known IS NOT NULL")
+    known = words.unionByName(dictionary.sparkSession.createDataFrame([(m,) for m in MONTHS], "known string")).distinct()
+    return F.broadcast(known) if words.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS else known
 
 
 def scan(docs: DataFrame, dictionary: DataFrame) -> DataFrame:
@@ -76,45 +81,51 @@ def scan(docs: DataFrame, dictionary: DataFrame) -> DataFrame:
     docs (doc_id, text) without page markers; dictionary (word). kind is reduplication, nonstandard (both
     certain), di_ke_prefix or unknown_word (both to be judged). Findings come by token order and a
     consumed token takes part in nothing else. Null and empty texts have none.
+
+    Tokens are not shuffled while the dictionary fits BROADCAST_WORDS: words it holds are dropped by an anti join, joined
+    neighbours are looked up for the rest only. What is shuffled by document are findings.
     """
-    w = Window.partitionBy("doc_id").orderBy("pos")
-    t = tokenise(docs)
-    around = {f"w{d}": F.lag("word", -d).over(w) for d in (-2, -1, 1, 2)} | {f"g{d}": F.lag("gap", -d).over(w) for d in (-2, -1, 1)}
-    t = t.withColumns(around)
+    known = _known(dictionary)
     low = F.lower("word")
+    t = tokenise(docs, around=True)
     adjacent = F.col("w1").isNotNull() & (strip(F.col("gap")) == "")
-    single = lambda g: F.col(g) == " "
-    left, right = single("g-1"), single("gap") & F.col("w1").isNotNull()
-    fragment = (F.col("word") == low) & (F.length("word") >= 2)
-    joins = {
-        "j1": F.when(left, F.lower(F.concat("w-1", "word"))),
-        "j2": F.when(left & single("g-2"), F.lower(F.concat("w-2", "w-1", "word"))),
-        "j3": F.when(right, F.lower(F.concat("word", "w1"))),
-        "j4": F.when(right & single("g1") & F.col("w2").isNotNull(), F.lower(F.concat("word", "w1", "w2"))),
-        "j5": F.when(left & right, F.lower(F.concat("w-1", "word", "w1"))),
-    }
-    asked = {n: F.when(fragment, e) for n, e in joins.items()}
-    asked["known"] = F.when(fragment, F.col("word"))
-    asked["pre"] = F.when(adjacent & low.isin("di", "ke"), F.lower(F.concat("word", "w1")))
-    t = _is_word(t, dictionary, asked)
     doubles = adjacent & (F.col("w1") == F.lower("w1")) & (F.col("w1") == low) & ~F.contains("word", F.lit("-")) & (F.length("word") >= 3)
-    prefix = adjacent & low.isin("di", "ke") & F.col("pre") & ~doubles & ~low.isin(*STANDARD)
-    # A pair takes two tokens. In a run of tokens that each could open a pair with the next, every other does.
-    opens = t.withColumn("opens", F.coalesce(doubles | prefix, F.lit(False)))
-    opens = opens.withColumn("run", F.sum((~F.coalesce(F.lag("opens").over(w), F.lit(False))).cast("int")).over(w))
-    inner = Window.partitionBy("doc_id", "run").orderBy("pos")
-    opens = opens.withColumn("pair", F.col("opens") & (F.row_number().over(inner) % 2 == 1))
-    rows = opens.withColumn("taken", F.coalesce(F.lag("pair").over(w), F.lit(False))).where("NOT taken")
     standard = F.try_element_at(F.create_map(*[F.lit(x) for kv in STANDARD.items() for x in kv]), low)
-    lost = fragment & ~F.col("known") & ~((F.length("word") == 2) & ~F.col("word").rlike("[aiueo]")) & ~(F.col("j1") | F.col("j2") | F.col("j3") | F.col("j4") | F.col("j5"))
-    kind = F.when(F.col("pair") & doubles, "reduplication").when(standard.isNotNull(), "nonstandard").when(F.col("pair") & prefix, "di_ke_prefix").when(lost, "unknown_word")
-    two = kind.isin("reduplication", "di_ke_prefix")
-    shown = F.when(two, F.concat_ws(" ", "word", "w1")).otherwise(F.col("word"))
-    out = rows.withColumns({"kind": kind, "shown": shown, "last": F.when(two, F.col("end") + F.length("gap") + F.length("w1")).otherwise(F.col("end"))})
-    suggestion = F.when(F.col("kind") == "reduplication", F.concat_ws("-", "word", "w1")).when(F.col("kind") == "nonstandard", standard).when(F.col("kind") == "di_ke_prefix", F.lower(F.concat("word", "w1")))
-    key = F.when(F.col("kind") == "di_ke_prefix", F.concat(F.lit("di_ke:"), F.lower("w1"))).when(F.col("kind") == "unknown_word", F.concat(F.lit("word:"), low))
-    category = F.when(F.col("kind") == "reduplication", "grammar").when(F.col("kind") == "nonstandard", "tidak_baku")
-    return out.where("kind IS NOT NULL").select("doc_id", "pos", "start", F.col("last").alias("end"), "kind", category.alias("category"), F.col("shown").alias("text"), suggestion.alias("suggestion"), key.alias("key"))
+    separate = adjacent & low.isin("di", "ke") & ~doubles
+    pairs = t.where(doubles | separate).withColumns({"doubled": doubles, "joined": F.when(separate, F.lower(F.concat("word", "w1")))})
+    pairs = pairs.join(known, pairs["joined"] == known["known"], "left").where("doubled OR known IS NOT NULL")
+    # A pair takes two tokens. In a run of tokens that each could open a pair with the next, every other does.
+    order = Window.partitionBy("doc_id").orderBy("pos")
+    pairs = pairs.withColumn("run", F.col("pos") - F.row_number().over(order))
+    pairs = pairs.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "run").orderBy("pos"))).where("nth % 2 = 1")
+    two = ["doc_id", "pos", "start", (F.col("end") + F.length("gap") + F.length("w1")).alias("end")]
+    both = F.concat_ws(" ", "word", "w1").alias("text")
+    none = F.lit(None).cast("string")
+
+    def finding(kind: str, category: str | None, text: Column, suggestion: Column, key: Column, span: list) -> list:
+        return [*span, F.lit(kind).alias("kind"), F.lit(category).cast("string").alias("category"), text, suggestion.alias("suggestion"), key.alias("key")]
+
+    redoubled = pairs.where("doubled").select(*finding("reduplication", "grammar", both, F.concat_ws("-", "word", "w1"), none, two))
+    prefixed = pairs.where("NOT doubled").select(*finding("di_ke_prefix", None, both, F.col("joined"), F.concat(F.lit("di_ke:"), F.lower("w1")), two))
+
+    one, word = ["doc_id", "pos", "start", "end"], F.col("word").alias("text")
+    wrong = t.where(standard.isNotNull()).select(*finding("nonstandard", "tidak_baku", word, standard, none, one))
+    left, right = F.col("g-1") == " ", (F.col("gap") == " ") & F.col("w1").isNotNull()
+    joins = (
+        F.when(left, F.lower(F.concat("w-1", "word"))), F.when(left & (F.col("g-2") == " "), F.lower(F.concat("w-2", "w-1", "word"))),
+        F.when(right, F.lower(F.concat("word", "w1"))), F.when(right & (F.col("g1") == " "), F.lower(F.concat("word", "w1", "w2"))),
+        F.when(left & right, F.lower(F.concat("w-1", "word", "w1"))),
+    )
+    fragment = (F.col("word") == low) & (F.length("word") >= 2) & ~((F.length("word") == 2) & ~F.col("word").rlike("[aiueo]")) & standard.isNull()
+    lost = t.where(fragment)
+    for e in (F.col("word"), *joins):
+        lost = lost.withColumn("__e", e)
+        lost = lost.join(known, lost["__e"] == known["known"], "left_anti").drop("__e")
+    lost = lost.select(*finding("unknown_word", None, word, none, F.concat(F.lit("word:"), low), one))
+
+    taken = pairs.select("doc_id", F.explode(F.array(F.col("pos"), F.col("pos") + 1)).alias("pos"))
+    rest = wrong.unionByName(lost).join(taken, ["doc_id", "pos"], "left_anti").select(redoubled.columns)
+    return redoubled.unionByName(prefixed).unionByName(rest)
 
 
 def candidates(findings: DataFrame, docs: DataFrame) -> DataFrame:
