@@ -6,6 +6,8 @@ statistical table whose rows are nations. Sums are exact decimals, so both engin
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,9 +15,10 @@ from pyspark.sql import functions as F
 
 from .functions import units
 from .functions.periods import MONTHS, month_abbreviation, parse_period
-from .functions.text import indonesian_number, locate_anchor, normalise_ws
+from .functions.text import expand_sentence, indonesian_number, locate_anchor, normalise_ws, strip
 from .operators import evaluation, grids, ingest, lookup, narrative, sqlcheck, typo
 from .plans import verify
+from .plans.document import check_typos
 from .streaming import claims as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -271,16 +274,29 @@ def available_periods(spark, sf_dir):
 
 # -- units, numbers, periods -------------------------------------------------------------------
 
-UNIT_PAIRS = [("triliun rp", "miliar rp", 1000.0), ("Miliar Rp", "miliar rp ", 1.0), ("ribu Rp", "miliar Rp", 1e-6), ("Rp", "juta Rp", 1e-6), ("juta Rp", "juta USD", None), ("persen", "persen", 1.0),
-              ("unit", "buah", None), ("miliar dolar AS", "juta USD", 1000.0), ("%", "juta Rp", None), ("triliun rupiah", "juta rp", 1e6), ("", "Rp", None)]
-NUMBERS = [("10.355,1", 10355.1), ("9,7", 9.7), ("-9,2", -9.2), ("100", 100.0), ("1.234", 1234.0), ("Rp10.355,1 triliun", 10355.1), ("(49,8)", -49.8), ("(1.234,5)", -1234.5), ("(49,8) triliun", -49.8),
-           ("(-49,8)", -49.8), ("(5,5%)", 5.5), ("(-5,5%)", -5.5), ("2 1,3", 21.3), ("8 ,9", 8.9), ("()", None), ("abc", None), ("1,2.3", None)]
-PERIODS = [("Apr 2026", 2026, "Apr"), ("April 2026", 2026, "Apr"), ("Apr-26", 2026, "Apr"), ("Apr''26", 2026, "Apr"), ("Des 2025", 2025, "Dec"), ("Mei 2026", 2026, "May"), ("2026 Apr", 2026, "Apr"),
-           ("2026M04", 2026, "Apr"), ("2026-04", 2026, "Apr"), ("04/2026", 2026, "Apr"), ("Total", None, None), ("2026", None, None), ("Q1 2026", None, None), ("Jan 85", None, None)]
+SCALE_WORDS = {"": 1.0, "ribu ": 1e3, "juta ": 1e6, "miliar ": 1e9, "triliun ": 1e12}
+#: Every two scales of a currency, and pairs that cannot be converted.
+UNIT_PAIRS = [(f"{a}{x}", f"{b}{x}", fa / fb) for x in ("Rp", "USD") for a, fa in SCALE_WORDS.items() for b, fb in SCALE_WORDS.items()]
+UNIT_PAIRS += [(f"{a}Rp", f"{a}USD", None) for a in SCALE_WORDS] + [("ekor", "lembar", None), ("%", "ribu Rp", None), ("persen", "persen", 1.0)]
+
+
+def _written(n: int, places: int) -> str:
+    """A number of so many hundredths in Indonesian writing."""
+    whole = f"{abs(n) // 100:,}".replace(",", ".")
+    return ("-" if n < 0 else "") + whole + (f",{abs(n) % 100:02d}" if places else "")
+
+
+_AMOUNTS = [7 ** k * s for k in range(1, 12) for s in (100, -100)] + [k * 7919 - 40_000 for k in range(12)]
+NUMBERS = [(_written(n, n % 100), n / 100) for n in _AMOUNTS]
+NUMBERS += [(shape.format(_written(abs(n), n % 100)), sign * abs(n) / 100) for n in _AMOUNTS[:6] for shape, sign in (("({})", -1), ("Rp{} miliar", 1), ("({}%)", 1), ("{} *", 1), ("({}) triliun", -1))]
+NUMBERS += [(x, None) for x in ("(  )", "tidak ada", "3,4,5", "n.a.")]
+_NAMES = ("Jan", "Februari", "Mrt", "April", "Mei", "June", "Jul", "Agustus", "Sept", "Okt", "Nopember", "Des")
+PERIODS = [(shape.format(n=n, y=y, s=y % 100, m=i + 1), y, MONTHS[i]) for i, n in enumerate(_NAMES) for y, shapes in ((1999, ("{n} {y}", "{y}/{n}", "{y}M{m:02d}")), (2031, ("{n}-{s:02d}", "{m}/{y}", "{y}-{m}", "{n}.{y}**"))) for shape in shapes if n != "Nopember"]
+PERIODS += [(x, None, None) for x in ("Jumlah", "1999", "Kw1 1999", "Mei 69.5", "13-2001", "2001m0", "Mei", "Mei 1989", "Mei/2101 x", "-Mei 1999")]
 
 
 def _sql(v) -> str:
-    return "NULL" if v is None else f"'{v}'" if isinstance(v, str) else f"CAST({v!r} AS DOUBLE)" if isinstance(v, float) else str(v)
+    return "NULL" if v is None else str(v).lower() if isinstance(v, bool) else f"'{v}'" if isinstance(v, str) else f"CAST({v!r} AS DOUBLE)" if isinstance(v, float) else str(v)
 
 
 def _values(rows, names: str) -> str:
@@ -297,9 +313,9 @@ def number_parse(spark, sf_dir):
     return spark.createDataFrame([p[:1] for p in NUMBERS], "raw string").select("raw", indonesian_number(F.col("raw")).alias("parsed"))
 
 
-@query(f"SELECT replace(raw, '''''', '''') AS raw, CAST(y AS INTEGER) AS year, CAST(m AS VARCHAR) AS month FROM {_values(PERIODS, 'raw, y, m')}")
+@query(f"SELECT raw, CAST(y AS INTEGER) AS year, CAST(m AS VARCHAR) AS month FROM {_values(PERIODS, 'raw, y, m')}")
 def period_parse(spark, sf_dir):
-    df = spark.createDataFrame([(p[0].replace("''", "'"),) for p in PERIODS], "raw string")
+    df = spark.createDataFrame([p[:1] for p in PERIODS], "raw string")
     p = parse_period(F.lit("str"), F.col("raw"), F.lit(None).cast("timestamp_ntz"))
     return df.select("raw", p["year"].alias("year"), p["month"].alias("month"))
 
@@ -388,29 +404,76 @@ def column_periods(spark, sf_dir):
     return grids.column_periods(wide_cells(monthly(spark, sf_dir))).select("source_ord", "c", "year", "month")
 
 
-PRINT_ROWS = [(r, 1, "t") for r in range(2, 6)] + [(1, 1, "t"), (1, 2, "t")] + [(r, 2, "n") for r in range(2, 6)]
-
-
-@query("SELECT n_nationkey AS source_ord, sha256('tt.|tn.|tn.|tnn#3') AS fingerprint FROM nation")
+@query(f"""WITH {M}, n AS (SELECT g, CAST(k + 4 AS INTEGER) AS r, CAST((y - 1990) * 12 + mo + 1 AS INTEGER) AS c, 'n' AS p FROM m),
+x AS (SELECT * FROM n UNION SELECT g, r, 1, 't' FROM n UNION SELECT g, 3, c, 't' FROM n UNION SELECT DISTINCT g, unnest([1, 2, 3]), 1, 't' FROM m),
+z AS (SELECT g, max(r) AS rows, max(c) AS cols FROM x GROUP BY g), d AS (SELECT g, cols, unnest(range(1, least(rows, 20) + 1)) AS r FROM z), e AS (SELECT g, cols, r, unnest(range(1, least(cols, 30) + 1)) AS c FROM d),
+l AS (SELECT g, cols, r, string_agg(coalesce(p, '.'), '' ORDER BY c) AS line FROM e LEFT JOIN x USING (g, r, c) GROUP BY g, cols, r)
+SELECT g AS source_ord, sha256(string_agg(line, '|' ORDER BY r) || '#' || cols) AS fingerprint FROM l GROUP BY g, cols""")
 def fingerprint(spark, sf_dir):
-    n = read(spark, sf_dir, "nation").withColumn("g", F.col("n_nationkey"))
-    cells = [_cells(n, F.lit(1), F.lit(c), F.col("n_name")) for c in (1, 2)] + [_cells(n, F.lit(r), F.lit(1), F.col("n_name")) for r in (2, 3, 4)]
-    cells += [_cells(n, F.lit(r), F.lit(c), None, F.col("n_regionkey")) for r, c in ((2, 2), (3, 2), (4, 2), (4, 3))]
-    out = cells[0]
-    for x in cells[1:]:
-        out = out.unionByName(x)
-    return grids.fingerprints(out)
+    return grids.fingerprints(generic_cells(monthly(spark, sf_dir)))
 
 
-@query(f"WITH {M} SELECT g AS source_ord, k, y, mo, v FROM m")
+@query(LONG)
 def table_unpivot_long(spark, sf_dir):
-    wide = monthly(spark, sf_dir).groupBy("g", "k", "y").pivot("mo", list(range(1, 13))).agg(F.first("v"))
-    return wide.unpivot(["g", "k", "y"], [str(i) for i in range(1, 13)], "mo", "v").where("v IS NOT NULL").select(F.col("g").alias("source_ord"), "k", "y", F.col("mo").cast("int").alias("mo"), "v")
+    """A sheet that names every nation twice; the first row of a label counts."""
+    m = monthly(spark, sf_dir)
+    return _long(grids.parse_generic(generic_cells(m.unionByName(m.withColumns({"k": F.col("k") + 100, "v": F.col("v") * 2})))))
 
 
-@query("SELECT l_orderkey, l_returnflag, arg_min(l_extendedprice, row(l_linenumber, l_extendedprice)) AS value FROM lineitem GROUP BY l_orderkey, l_returnflag")
+@query("SELECT CAST(l_orderkey AS VARCHAR) AS row_label, l_returnflag AS col_label, arg_min(l_extendedprice, row(l_linenumber, l_extendedprice)) AS value FROM lineitem GROUP BY l_orderkey, l_returnflag")
 def first_wins_dedup(spark, sf_dir):
-    return read(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_returnflag").agg(F.min_by("l_extendedprice", F.struct("l_linenumber", "l_extendedprice")).alias("value"))
+    null = F.lit(None)
+    rows = read(spark, sf_dir, "lineitem").select(
+        F.lit(0).alias("source_ord"), F.col("l_linenumber").cast("int").alias("row_ord"), F.col("l_orderkey").cast("string").alias("row_label"), null.cast("int").alias("year"), null.cast("string").alias("month"),
+        F.lit(1).alias("col_ord"), F.col("l_returnflag").alias("col_label"), F.col("l_extendedprice").alias("value"), F.col("l_extendedprice").alias("__c"))
+    return grids.first_wins(rows).select("row_label", "col_label", "value")
+
+
+@query(f"WITH {M} SELECT g AS source_ord, label AS row_label, y AS year, {ABBR} AS month, v AS value FROM m WHERE g % 2 = 0")
+def spec_rejects(spark, sf_dir):
+    """Specs of odd regions name their label column as a data column and are refused."""
+    m = monthly(spark, sf_dir)
+    cells = generic_cells(m)
+    column = F.struct(((F.col("y") - 1990) * 12 + F.col("mo")).alias("col"), F.lit("period").alias("kind"), F.col("y").alias("year"), month_abbreviation(F.col("mo")).alias("month"), F.lit(None).cast("string").alias("name"))
+    specs = m.select("g", "y", "mo").distinct().groupBy(F.col("g").alias("source_ord")).agg(F.collect_list(column).alias("columns")).select(
+        "source_ord", F.lit(2).alias("header_row"), F.when(F.col("source_ord") % 2 == 0, 0).otherwise(F.element_at("columns", 1)["col"]).alias("label_col"), F.lit(3).alias("data_start_row"), F.lit("temporal").alias("axis_type"), F.lit("T").alias("title"), F.lit("u").alias("unit"), "columns")
+    return _long(grids.parse_by_spec(cells, specs))
+
+
+@query("""WITH n AS (SELECT n_nationkey AS k, n_name AS label, n_regionkey AS g, count(*) AS c, CAST(sum(CAST(c_acctbal AS DECIMAL(18, 2))) AS DOUBLE) AS s FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2, 3)
+SELECT g AS source_ord, 'categorical' AS axis_type, label AS row_label, col AS col_label, CASE WHEN col = 'Saldo' THEN s ELSE CAST(c AS DOUBLE) END AS value FROM n, (VALUES ('Saldo'), ('Pelanggan')) t(col)""")
+def categorical_axis(spark, sf_dir):
+    c, n = read(spark, sf_dir, "customer"), read(spark, sf_dir, "nation")
+    t = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).groupBy(F.col("n_nationkey").alias("k"), F.col("n_name").alias("label"), F.col("n_regionkey").alias("g")).agg(F.count("*").alias("n"), F.sum(F.col("c_acctbal").cast("decimal(18,2)")).cast("double").alias("s"))
+    one = t.select("g").distinct()
+    cells = _cells(one, F.lit(1), F.lit(1), F.lit("Daftar"))
+    for col, name in ((1, "Negara"), (2, "Saldo"), (3, "Pelanggan")):
+        cells = cells.unionByName(_cells(one, F.lit(3), F.lit(col), F.lit(name)))
+    cells = cells.unionByName(_cells(t, F.col("k") + 4, F.lit(1), F.col("label"))).unionByName(_cells(t, F.col("k") + 4, F.lit(2), None, F.col("s"))).unionByName(_cells(t, F.col("k") + 4, F.lit(3), None, F.col("n")))
+    p = grids.parse_generic(cells)
+    return p.data.join(p.meta.select("source_ord", "axis_type"), "source_ord").select("source_ord", "axis_type", "row_label", "col_label", "value")
+
+
+@query("""SELECT n_regionkey AS source_ord, n_name AS row_label FROM nation UNION ALL SELECT n_regionkey, n_name || ' > ' || part FROM nation, (VALUES ('Rupiah'), ('Valas')) t(part)
+UNION ALL SELECT n_regionkey, 'Valas > Giro' FROM nation""")
+def repeated_labels(spark, sf_dir):
+    """Below every nation its parts, with one label below the second; labels met twice are led by their parent's."""
+    n = read(spark, sf_dir, "nation")
+    part = lambda i, label, indent: F.struct(F.lit(i).alias("i"), label.alias("label"), F.lit(indent).alias("indent"))
+    rows = n.select(F.col("n_regionkey").alias("source_ord"), "n_nationkey", F.inline(F.array(part(0, F.col("n_name"), 0), part(1, F.lit("Rupiah"), 2), part(2, F.lit("Valas"), 2), part(3, F.lit("Giro"), 5))))
+    rows = rows.select("source_ord", (F.col("n_nationkey") * 10 + F.col("i")).alias("row_ord"), "label", "indent")
+    return grids.qualify_labels(rows).select("source_ord", "row_label")
+
+
+@query("SELECT n_nationkey AS source_ord, CASE WHEN n_nationkey % 3 = 0 THEN 'generic' END AS parser, CASE n_nationkey % 3 WHEN 1 THEN 'the sheet holds no numbers' WHEN 2 THEN 'no parser found a header, labels and values' END AS error FROM nation")
+def parser_status(spark, sf_dir):
+    """Sheets of a table, of texts alone, and of numbers alone."""
+    n = read(spark, sf_dir, "nation").withColumn("g", F.col("n_nationkey"))
+    a, b, c = (n.where(F.col("g") % 3 == i) for i in range(3))
+    cells = _cells(a, F.lit(1), F.lit(1), F.lit("Wilayah")).unionByName(_cells(a, F.lit(1), F.lit(2), F.lit("Jan 2020"))).unionByName(_cells(a, F.lit(1), F.lit(3), F.lit("Feb 2020")))
+    cells = cells.unionByName(_cells(a, F.lit(2), F.lit(1), F.col("n_name"))).unionByName(_cells(a, F.lit(2), F.lit(2), None, F.col("n_regionkey"))).unionByName(_cells(a, F.lit(2), F.lit(3), None, F.lit(1)))
+    cells = cells.unionByName(_cells(b, F.lit(1), F.lit(1), F.col("n_name"))).unionByName(_cells(c, F.lit(1), F.lit(1), None, F.col("n_regionkey")))
+    return grids.source_status(cells, grids.parse_tables(cells)).select("source_ord", "parser", "error")
 
 
 # -- ingestion ---------------------------------------------------------------------------------
@@ -448,6 +511,23 @@ def aggregate_col_score(spark, sf_dir):
     return ingest.signals(total_cells(spark, sf_dir)).where("axis = 'column'").select("source_ord", "label", "score")
 
 
+@query(f"""{YEARS} SELECT (SELECT count(*) FROM f) AS auto_aggregate, (SELECT count(DISTINCT (g, k)) + count(DISTINCT (g, y)) FROM y) AS auto_not_aggregate, CAST(0 AS BIGINT) AS llm_escalated,
+(SELECT count(DISTINCT g) FROM y WHERE g NOT IN (SELECT g FROM f)) AS defaulted, (SELECT count(DISTINCT g) FROM y) AS sheets, (SELECT count(*) + count(DISTINCT (g, y)) FROM y) AS facts""")
+def ingest_summary(spark, sf_dir):
+    return ingest.ingest_summary(total_cells(spark, sf_dir))
+
+
+@query(f"""{YEARS} SELECT DISTINCT g AS source_ord, CAST(k + 2 AS INTEGER) AS r, 'data' AS part FROM y UNION ALL SELECT DISTINCT g, 1, 'header' FROM y UNION ALL SELECT DISTINCT g, 99, 'data' FROM y""")
+def title_rows(spark, sf_dir):
+    """Sheets led by two rows that repeat one title over their width; those rows are no part of the table."""
+    cells = total_cells(spark, sf_dir)
+    wide = cells.where("r = 1").select("source_ord", "c")
+    lead = wide.crossJoin(spark.createDataFrame([(-1,), (0,)], "r int")).select(
+        "source_ord", F.lit("f").alias("file"), F.lit("s").alias("sheet"), "r", "c", F.lit("str").alias("kind"), F.lit("Judul").alias("v_str"), F.lit(None).cast("double").alias("v_num"), F.lit(None).cast("timestamp_ntz").alias("v_ts"),
+        F.lit(False).alias("is_bold"), F.lit(False).alias("has_fill"), F.lit(False).alias("has_top_border"), F.lit(0).alias("indent"))
+    return ingest.split_rows(cells.unionByName(lead))
+
+
 # -- text --------------------------------------------------------------------------------------
 
 LINES = r"l AS (SELECT doc_id, unnest(string_split_regex(text, '\r\n|\n|\r')) AS line FROM documents), t AS (SELECT doc_id, line, list_filter(string_split_regex(line, '\s+'), lambda w: w <> '') AS w FROM l)"
@@ -464,33 +544,90 @@ TAB = r"""(starts_with(trim(line), '|') OR regexp_matches(trim(line), '\S {4,}\S
  OR (len(w) >= 3 AND len(list_filter(list_slice(w, -3, -1), lambda x: regexp_full_match(x, '\(?-?[\d.,]+%?\)?'))) = 3))"""
 
 
-@query(f"WITH {LINES} SELECT doc_id, count(*) AS n FROM t WHERE {TAB} GROUP BY doc_id")
+MADE = """CASE l_linenumber % 6 WHEN 0 THEN '| ' || l_orderkey || ' | ' || l_linestatus || ' |' WHEN 1 THEN l_linestatus || '     ' || l_returnflag
+WHEN 2 THEN 'Jan 1,' || l_linenumber || ' Feb 2,0 Mar ' || l_orderkey || ' naik (3,0)% Apr 4' WHEN 3 THEN 'Kiriman ' || l_linestatus || ' ' || l_orderkey || ' (1,5%) -' || l_linenumber
+WHEN 4 THEN 'Pesanan ' || l_orderkey || ' dikirim dengan ' || l_linestatus || ' pada 2 Mei' ELSE l_linestatus || ' ' || l_orderkey || ' 7' END"""
+
+
+@query(rf"WITH l AS (SELECT CAST(l_linenumber % 6 AS INTEGER) AS rule, {MADE} AS line FROM lineitem), t AS (SELECT rule, line, list_filter(string_split_regex(line, '\s+'), lambda w: w <> '') AS w FROM l) SELECT rule, {TAB} AS tabular, count(*) AS n FROM t GROUP BY 1, 2")
 def tabular_line_filter(spark, sf_dir):
-    lines = narrative.explode_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
-    return lines.where(narrative.is_tabular(F.col("line"))).groupBy("doc_id").agg(F.count("*").alias("n"))
+    """Lines made from lineitem that meet each of the four rules, or none."""
+    lines = read(spark, sf_dir, "lineitem").selectExpr("CAST(l_linenumber % 6 AS INT) AS rule", f"{MADE} AS line")
+    return lines.groupBy("rule", narrative.is_tabular(F.col("line")).alias("tabular")).agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {LINES}, k AS (SELECT doc_id, line, w, CASE WHEN len(w) < 6 THEN 's' WHEN len(list_filter(w, lambda x: regexp_full_match(x, '[\\d.,%()\\-]+'))) / len(w) > 0.55 THEN 't' ELSE 'n' END AS kind FROM t WHERE trim(line) <> '' AND NOT starts_with(trim(line), '*'))
-SELECT doc_id, count(*) FILTER (WHERE kind = 'n') AS n FROM k GROUP BY doc_id HAVING count(*) FILTER (WHERE kind = 'n') > 0 AND count(*) FILTER (WHERE kind = 't') < 0.7 * count(*) FILTER (WHERE kind <> 's')""")
+KIND = r"CASE WHEN len({0}) < 6 THEN 's' WHEN len(list_filter({0}, lambda x: regexp_full_match(x, '[\d.,%()\-]+'))) / len({0}) > 0.55 THEN 't' ELSE 'n' END"
+
+
+@query(rf"""WITH {LINES}, b AS (SELECT doc_id, 1 AS page_no, line, w FROM t WHERE trim(line) <> '' UNION ALL SELECT doc_id, 1, '* angka ' || doc_id || ' naik lagi pada bulan ini', string_split('* angka ' || doc_id || ' naik lagi pada bulan ini', ' ') FROM documents
+UNION ALL SELECT doc_id, 1, '*angka ini naik lagi pada bulan ini', string_split('*angka ini naik lagi pada bulan ini', ' ') FROM documents),
+v AS (SELECT *, regexp_replace(trim(line), '^\*+\s*', '') AS rest FROM b), x AS (SELECT *, list_filter(string_split_regex(rest, '\s+'), lambda a: a <> '') AS u FROM v),
+k AS (SELECT doc_id, page_no, CASE WHEN starts_with(trim(line), '*') THEN CASE WHEN {KIND.format('u')} = 'n' AND regexp_matches(rest, '\d') THEN 'n' ELSE 's' END ELSE {KIND.format('w')} END AS kind FROM x)
+SELECT doc_id, page_no, count(*) FILTER (WHERE kind = 'n') AS n FROM k GROUP BY doc_id, page_no HAVING count(*) FILTER (WHERE kind = 't') < 0.7 * count(*) FILTER (WHERE kind <> 's')""")
 def narrative_filter(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", r"(?m)^\s*\*.*$", "").alias("text"))
-    return narrative.filter_narrative(narrative.split_pages(docs)).groupBy("doc_id").agg(F.count("*").alias("n"))
+    """Whole texts as a first page with a starred line to keep and one to drop, and an appendix page behind it."""
+    text = F.concat(F.lit("[== Halaman 1 ==]\n"), F.coalesce("text", F.lit("")), F.lit("\n* angka "), F.col("doc_id").cast("string"), F.lit(" naik lagi pada bulan ini\n*angka ini naik lagi pada bulan ini\n[== Halaman 2 ==]\nLampiran 1. Tabel uang\nIni kalimat panjang yang tidak akan dibaca lagi"))
+    docs = read(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
+    return narrative.filter_narrative(narrative.split_pages(docs)).groupBy("doc_id", "page_no").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(r"""WITH RECURSIVE l AS (SELECT doc_id, unnest(string_split_regex(text, '\r\n|\n|\r')) AS line, unnest(range(0, len(string_split_regex(text, '\r\n|\n|\r')))) AS i FROM documents),
+s AS (SELECT doc_id, CAST(i AS INTEGER) AS i, length(line) AS n FROM l),
+c AS (SELECT doc_id, i, n AS used, 0 AS chunk FROM s WHERE i = 0 UNION ALL SELECT s.doc_id, s.i, CASE WHEN c.used + s.n > 6000 THEN s.n ELSE c.used + s.n END, CASE WHEN c.used + s.n > 6000 THEN c.chunk + 1 ELSE c.chunk END FROM c JOIN s ON s.doc_id = c.doc_id AND s.i = c.i + 1)
+SELECT doc_id, i AS block_no, chunk AS chunk_no FROM c""")
 def page_chunks(spark, sf_dir):
     lines = narrative.explode_lines(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.col("line_no").alias("block_no"), F.col("line").alias("text"))
     return narrative.chunk_pages(lines).select("doc_id", "block_no", "chunk_no")
 
 
+BLANK = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
+@query(rf"""WITH {LINES.split(', t AS')[0]}, i AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id) AS x FROM l), p AS (SELECT doc_id, regexp_replace(line, '^{BLANK}+|{BLANK}+$', '', 'g') AS text FROM i)
+SELECT doc_id, text, count(*) AS n FROM p WHERE text <> '' GROUP BY 1, 2""")
+def page_round_trip(spark, sf_dir):
+    """Every line as a page, joined behind markers and cut at them again."""
+    pages = narrative.explode_lines(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", (F.col("line_no") + 1).alias("page_no"), F.col("line").alias("text"))
+    back = narrative.split_pages(narrative.join_pages(pages))
+    return back.where("page_no IS NOT NULL").groupBy("doc_id", strip(F.col("text")).alias("text")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT n_nationkey AS doc_id, unnest([n_regionkey + 5, n_regionkey + 9]) AS page_no, unnest(CASE WHEN n_nationkey % 2 = 0 THEN [n_name, 'akhir'] ELSE [n_name || ' akhir', ''] END) AS text FROM nation""")
+def renumbered_pages(spark, sf_dir):
+    n = read(spark, sf_dir, "nation")
+    text = F.concat(F.lit("[== Halaman 1 ==] "), "n_name", F.when(F.col("n_nationkey") % 2 == 0, " [== Halaman 2 ==]").otherwise(""), F.lit(" akhir"))
+    return narrative.renumber_markers(n.select(F.col("n_nationkey").alias("doc_id"), text.alias("text"), F.array(F.col("n_regionkey") + 5, F.col("n_regionkey") + 9).alias("page_nums")))
+
+
+@query("""SELECT n_nationkey AS doc_id, 'Negara ' || n_name || ' s.d. Mei tumbuh 9,7% (yoy)' || CASE WHEN n_nationkey % 3 = 0 THEN '!' ELSE '.' END AS sentence FROM nation WHERE n_nationkey % 3 < 2
+UNION ALL SELECT n_nationkey, 'Negara ' || n_name || ' s.d. Mei tumbuh 9,7% (yoy)' FROM nation WHERE n_nationkey % 3 = 2""")
+def sentence_around(spark, sf_dir):
+    """A quote in the middle of a sentence that ends with a mark, or at the next page."""
+    end = F.when(F.col("n_nationkey") % 3 == 0, "! Lalu turun.").when(F.col("n_nationkey") % 3 == 1, ". Lalu 'naik'.").otherwise(" [== Halaman 3 ==] Selesai.")
+    n = read(spark, sf_dir, "nation").withColumn("text", F.concat(F.lit("[== Halaman 2 ==] Pertama, lihat di atas. Negara "), "n_name", F.lit(" s.d. Mei tumbuh 9,7% (yoy)"), end))
+    at = locate_anchor(F.concat("n_name", F.lit(" s.d. Mei tumbuh")), F.col("text"))
+    return n.select(F.col("n_nationkey").alias("doc_id"), expand_sentence(F.col("text"), at["start"], at["length"]).alias("sentence"))
+
+
+@query("SELECT n_nationkey AS k, CASE n_nationkey % 3 WHEN 0 THEN 'juta Rp' WHEN 1 THEN 'ribu USD' END AS unit FROM nation")
+def column_units(spark, sf_dir):
+    n = read(spark, sf_dir, "nation")
+    head = F.concat("n_name", F.when(F.col("n_nationkey") % 3 == 0, " (juta Rp)").when(F.col("n_nationkey") % 3 == 1, " (ribu USD)").otherwise(""))
+    return n.select(F.col("n_nationkey").alias("k"), units.column_unit(head).alias("unit"))
+
+
 NORM = r"regexp_replace(text, '[\s]+', ' ', 'g')"
 
 
-@query(rf"WITH n AS (SELECT doc_id, {NORM} AS t FROM documents WHERE length({NORM}) >= 60 AND regexp_full_match(substr({NORM}, 21, 30), '\S.*\S') AND NOT contains(substr({NORM}, 21, 30), '  ')) SELECT doc_id, CAST(instr(t, substr(t, 21, 30)) AS INTEGER) AS start FROM n")
+@query(rf"""WITH n AS (SELECT doc_id, regexp_replace(text, '{BLANK}+', ' ', 'g') AS t FROM documents), w AS (SELECT doc_id, t, list_filter(string_split(t, ' '), lambda x: x <> '') AS w FROM n),
+a AS (SELECT doc_id, t, array_to_string(w[-6:], ' ') AS part FROM w WHERE len(w) >= 6)
+SELECT doc_id, CASE WHEN length(part) >= 15 AND contains(t, part) THEN CAST(instr(t, part) AS INTEGER) END AS start FROM a""")
 def anchor_locate(spark, sf_dir):
-    n = read(spark, sf_dir, "documents").select("doc_id", normalise_ws(F.col("text")).alias("t")).withColumn("a", F.substring("t", 21, 30))
-    n = n.where((F.length("t") >= 60) & F.col("a").rlike(r"^\S.*\S$") & ~F.contains("a", F.lit("  ")))
-    return n.select("doc_id", locate_anchor(F.col("a"), F.col("t"))["start"].alias("start"))
+    """The last six words of every text behind a word that is not there: the whole quote fails, its second window is found."""
+    n = read(spark, sf_dir, "documents").select("doc_id", normalise_ws(F.col("text")).alias("t"))
+    n = n.withColumn("w", F.filter(F.split("t", " "), lambda x: x != "")).where(F.size("w") >= 6)
+    anchor = F.concat(F.lit("qxzq999 "), F.array_join(F.slice("w", -6, 6), " "))
+    return n.select("doc_id", locate_anchor(anchor, F.col("t"))["start"].alias("start"))
 
 
 @query(r"SELECT lower(w) AS word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]+(?:-[A-Za-z]+)*')) AS w FROM documents) GROUP BY 1")
@@ -498,29 +635,61 @@ def tokens(spark, sf_dir):
     return typo.tokenise(read(spark, sf_dir, "documents")).groupBy(F.lower("word").alias("word")).agg(F.count("*").alias("n"))
 
 
+TAIL = " Resiko aktifitas rumah rumah rumah. Di rumah kan"
 STD = ", ".join(f"('{a}', '{b}')" for a, b in typo.STANDARD.items())
-
-
-@query(rf"""WITH d AS (SELECT doc_id, text || ' Resiko aktifitas' AS text FROM documents), w AS (SELECT doc_id, lower(unnest(regexp_extract_all(text, '[A-Za-z]+(?:-[A-Za-z]+)*'))) AS w FROM d)
-SELECT doc_id, b AS suggestion, count(*) AS n FROM w JOIN (VALUES {STD}) s(a, b) ON w = a GROUP BY 1, 2""")
+FOUND = rf"""d AS (SELECT doc_id, coalesce(text, '') || '{TAIL}' AS text FROM documents),
+a AS (SELECT doc_id, regexp_extract_all(text, '{typo.WORD}') AS w, string_split_regex(text, '{typo.WORD}') AS g FROM d),
+i AS (SELECT doc_id, unnest(w) AS word, unnest(g[2:]) AS gap, unnest(g[:len(w)]) AS pre, unnest(range(0, len(w))) AS pos FROM a),
+known AS (SELECT lower(word) AS word FROM i GROUP BY 1 HAVING count(DISTINCT doc_id) >= 3 UNION SELECT unnest(['dirumah', {", ".join(f"'{m}'" for m in typo.MONTHS)}])),
+t AS (SELECT *, lower(word) AS low, CAST(sum(length(pre) + length(word)) OVER p AS INTEGER) AS stop, lag(word) OVER p AS a1, lag(word, 2) OVER p AS a2, lead(word) OVER p AS b1, lead(word, 2) OVER p AS b2, lag(gap) OVER p AS ga1, lag(gap, 2) OVER p AS ga2, lead(gap) OVER p AS gb1
+  FROM i WINDOW p AS (PARTITION BY doc_id ORDER BY pos)),
+u AS (SELECT *, stop - length(word) AS start, b1 IS NOT NULL AND regexp_full_match(gap, '{BLANK}*') AS near FROM t),
+o AS (SELECT *, near AND b1 = lower(b1) AND b1 = low AND NOT contains(word, '-') AND length(word) >= 3 AS twice FROM u),
+q AS (SELECT *, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM o WHERE twice OR (near AND low IN ('di', 'ke') AND lower(word || b1) IN (SELECT word FROM known))),
+pair AS (SELECT * FROM q QUALIFY row_number() OVER (PARTITION BY doc_id, run ORDER BY pos) % 2 = 1),
+single AS (SELECT * FROM o WHERE (doc_id, pos) NOT IN (SELECT (doc_id, pos) FROM pair UNION ALL SELECT (doc_id, pos + 1) FROM pair))"""
+
+
+def _dictionary(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """(texts with a tail that holds a finding of each kind, words of three texts or more and one joined word)."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit(TAIL)).alias("text"))
+    words = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(typo.WORD), F.lit(0)))).alias("word"))
+    common = words.distinct().groupBy("word").count().where("count >= 3").select("word")
+    return docs, common.unionByName(spark.createDataFrame([("dirumah",)], "word string"))
+
+
+@query(rf"WITH {FOUND} SELECT doc_id, CAST(pos AS INTEGER) AS pos, s.b AS suggestion, start, stop AS \"end\" FROM single JOIN (VALUES {STD}) s(a, b) ON low = s.a".replace('\\"', '"'))
 def nonstandard_words(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").select("doc_id", F.concat("text", F.lit(" Resiko aktifitas")).alias("text"))
-    f = typo.scan(docs, spark.createDataFrame([("resiko",), ("aktifitas",)], "word string"))
-    return f.where("kind = 'nonstandard'").groupBy("doc_id", "suggestion").agg(F.count("*").alias("n"))
+    return typo.scan(*_dictionary(spark, sf_dir)).where("kind = 'nonstandard'").select("doc_id", "pos", "suggestion", "start", "end")
 
 
-@query("SELECT doc_id, 'Rumah-rumah' AS suggestion, 0 AS start, 11 AS \"end\" FROM documents")
+@query(f'WITH {FOUND} SELECT doc_id, word || \'-\' || b1 AS suggestion, start, CAST(stop + length(gap) + length(b1) AS INTEGER) AS "end" FROM pair WHERE twice')
 def reduplication(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").select("doc_id", F.lit("Rumah rumah rumah. Orang dan orang").alias("text"))
-    f = typo.scan(docs, spark.createDataFrame([("rumah",), ("orang",), ("dan",)], "word string"))
-    return f.where("kind = 'reduplication'").select("doc_id", "suggestion", "start", "end")
+    return typo.scan(*_dictionary(spark, sf_dir)).where("kind = 'reduplication'").select("doc_id", "suggestion", "start", "end")
+
 
+@query(f'WITH {FOUND} SELECT doc_id, word || \' \' || b1 AS text, lower(word || b1) AS suggestion, \'di_ke:\' || lower(b1) AS key, start FROM pair WHERE NOT twice')
+def separated_prefixes(spark, sf_dir):
+    return typo.scan(*_dictionary(spark, sf_dir)).where("kind = 'di_ke_prefix'").select("doc_id", "text", "suggestion", "key", "start")
 
-@query("SELECT doc_id, 'xyzw' AS text, 2 AS n FROM documents")
+
+@query(rf"""WITH {FOUND}, x AS (SELECT *, list_filter([word, CASE WHEN ga1 = ' ' THEN lower(a1 || word) END, CASE WHEN ga1 = ' ' AND ga2 = ' ' THEN lower(a2 || a1 || word) END, CASE WHEN gap = ' ' THEN lower(word || b1) END, CASE WHEN gap = ' ' AND gb1 = ' ' THEN lower(word || b1 || b2) END,
+  CASE WHEN ga1 = ' ' AND gap = ' ' THEN lower(a1 || word || b1) END], lambda e: e IS NOT NULL) AS e FROM single WHERE word = low AND length(word) >= 2 AND NOT (length(word) = 2 AND NOT regexp_matches(word, '[aiueo]')) AND low NOT IN (SELECT a FROM (VALUES {STD}) s(a, b))),
+y AS (SELECT doc_id, pos, unnest(e) AS e FROM x), hit AS (SELECT DISTINCT doc_id, pos FROM y WHERE e IN (SELECT word FROM known))
+SELECT doc_id, word AS text, CAST(min(start) AS INTEGER) AS first, count(*) AS n FROM x ANTI JOIN hit USING (doc_id, pos) GROUP BY 1, 2""")
 def unknown_words(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").select("doc_id", F.lit("k redit xyzw di terbi tkan kg lagi xyzw Nama").alias("text"))
-    f = typo.scan(docs, spark.createDataFrame([("kredit",), ("diterbitkan",), ("lagi",)], "word string"))
-    return typo.candidates(f, docs).where("kind = 'unknown_word'").select("doc_id", "text", F.size("occurrences").alias("n"))
+    docs, words = _dictionary(spark, sf_dir)
+    found = typo.candidates(typo.scan(docs, words).where("kind = 'unknown_word'"), docs)
+    return found.select("doc_id", "text", F.element_at("occurrences", 1)["start"].alias("first"), F.size("occurrences").cast("long").alias("n"))
+
+
+@query(rf"""WITH {FOUND}, s AS (SELECT doc_id, 'grammar' AS c FROM pair WHERE twice UNION ALL SELECT doc_id, 'tidak_baku' FROM single WHERE low IN (SELECT a FROM (VALUES {STD}) s(a, b)))
+SELECT doc_id, CAST(0 AS BIGINT) AS ejaan, count(*) FILTER (WHERE c = 'tidak_baku') AS tidak_baku, count(*) FILTER (WHERE c = 'grammar') AS grammar, count(*) AS total FROM s GROUP BY 1""")
+def typo_issue_counts(spark, sf_dir):
+    """Certain findings of every text behind a page marker, on the page where they stand."""
+    docs, words = _dictionary(spark, sf_dir)
+    marked = docs.select("doc_id", F.concat(F.lit("[== Halaman 1 ==]"), "text").alias("text"))
+    return typo.issue_counts(check_typos(marked, words))
 
 
 # -- SQL checks, evaluation, streams -----------------------------------------------------------
@@ -544,6 +713,23 @@ def table_browse(spark, sf_dir):
     return sqlcheck.browse(read(spark, sf_dir, "nation").select("n_nationkey", "n_name"), "n_nationkey", 7, 5)
 
 
+GUARDED = (
+    ("SELECT count(*) AS n FROM guarded_nation", False), ("WITH a AS (SELECT n_name FROM guarded_nation) SELECT * FROM a WHERE n_name IN (SELECT n_name FROM a) LIMIT 3", False),
+    ("SELECT upper(n_name), sum(n_nationkey) OVER (PARTITION BY n_regionkey) FROM guarded_nation ORDER BY 1", False), ("SELECT 1 UNION ALL SELECT 2", False), ("SELECT reflect('java.lang.System', 'nanoTime')", True),
+    ("SELECT java_method('java.lang.System', 'nanoTime') FROM guarded_nation", True), ("SELECT try_reflect('java.lang.System', 'nanoTime')", True), ("SELECT * FROM parquet.`/tmp`", True),
+    ("SELECT n_name FROM guarded_nation WHERE n_nationkey IN (SELECT reflect('java.lang.System', 'nanoTime'))", True), ("WITH a AS (SELECT * FROM text.`/etc`) SELECT * FROM a", True), ("DROP VIEW guarded_nation", True), ("SET a=b", True),
+    ("CREATE TEMPORARY VIEW v AS SELECT 1", True), ("SELECT * FROM not_there", True), ("SELECT TRANSFORM (n_name) USING 'cat' FROM guarded_nation", True), ("SELECT * FROM read_files('/tmp')", True), ("SELECT * FROM range(5)", True),
+    ("SELECT a.id FROM guarded_nation a JOIN guarded_nation b ON a.n_name = b.n_name", True), ("BEGIN SELECT 1; END", True),
+)
+
+
+@query(f"SELECT * FROM {_values([(i, b) for i, (_, b) in enumerate(GUARDED)], 'i, refused')}")
+def guarded_sql(spark, sf_dir):
+    """Queries, and statements that are none or reach beyond the listed tables; the last join is refused for a column that is not there."""
+    read(spark, sf_dir, "nation").createOrReplaceTempView("guarded_nation")
+    return spark.createDataFrame([(i, sqlcheck.execute(spark, q)[1] is not None) for i, (q, _) in enumerate(GUARDED)], "i int, refused boolean")
+
+
 PAIRS = "p AS (SELECT CAST(quality AS VARCHAR) AS expected, CAST(toxic AS VARCHAR) AS predicted FROM labels)"
 PRF = f"""WITH {PAIRS}, x AS (SELECT DISTINCT label FROM (SELECT expected AS label FROM p UNION SELECT predicted FROM p)),
 s AS (SELECT label, count(*) FILTER (WHERE expected = label AND predicted = label) AS tp, count(*) FILTER (WHERE expected <> label AND predicted = label) AS fp, count(*) FILTER (WHERE expected = label AND predicted <> label) AS fn FROM x, p GROUP BY label),
@@ -570,15 +756,30 @@ def eval_macro_f1(spark, sf_dir):
     return evaluation.overall(_pairs(spark, sf_dir)).withColumns({c: F.round(c, 9) for c in ("accuracy", "macro_f1")})
 
 
+@query("SELECT quality AS q, quality = toxic AS verdict_ok, CASE WHEN doc_id % 3 > 0 THEN (doc_id % 3) * 0.04 <= 0.05 END AS value_ok, count(*) AS n FROM labels GROUP BY 1, 2, 3")
+def eval_passed(spark, sf_dir):
+    expected = F.when(F.col("doc_id") % 3 > 0, (F.col("doc_id") % 3) * 0.04)
+    rows = read(spark, sf_dir, "labels").select(F.col("quality").alias("q"), F.col("quality").cast("string").alias("expected_verdict"), F.col("toxic").cast("string").alias("verdict"), expected.alias("expected_value"), F.lit(0.0).alias("computed"))
+    return evaluation.passed(rows).groupBy("q", "verdict_ok", "value_ok").agg(F.count("*").alias("n"))
+
+
+def _events(spark, sf_dir) -> tuple[DataFrame, str]:
+    """The events as a stream, and a folder for what it gives."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="veriframe-")
+    return spark.readStream.schema(read(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parque[t]"), f"{base}/stream-{uuid.uuid4().hex}"
+
+
 @query("SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(CAST(sum(CAST(value AS DECIMAL(18, 4))) AS DOUBLE), 4) AS total FROM events GROUP BY 1, 2")
 def stream_events_daily(spark, sf_dir):
-    return streams.daily_events(read(spark, sf_dir, "events")).withColumn("day", F.col("day").cast("string"))
+    events, path = _events(spark, sf_dir)
+    return streams.run_available(streams.daily_events(events), path).withColumn("day", F.col("day").cast("string"))
 
 
 @query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events),
 s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS id FROM g) SELECT user_id, count(*) AS n FROM s GROUP BY user_id, id""")
 def stream_event_sessions(spark, sf_dir):
-    return streams.event_sessions(read(spark, sf_dir, "events")).select("user_id", "n")
+    events, path = _events(spark, sf_dir)
+    return streams.run_available(streams.event_sessions(events), path).select("user_id", "n")
 
 
 ENTRY = claim_yoy_growth

@@ -226,5 +226,13 @@ def parse_tables(cells: DataFrame, specs: DataFrame | None = None) -> Parsed:
     return Parsed(meta, rows, data)
 
 
+def source_status(cells: DataFrame, parsed: Parsed) -> DataFrame:
+    """(source_ord, file, sheet, parser, error) of every source: which parser took it, or why none did."""
+    sources = cells.groupBy("source_ord").agg(F.first("file").alias("file"), F.first("sheet").alias("sheet"), F.count_if(F.col("kind") == "num").alias("numbers"), F.count_if(~is_empty()).alias("filled"))
+    took = sources.join(parsed.meta.select("source_ord", "parser"), "source_ord", "left")
+    why = F.when(F.col("filled") == 0, "the sheet is empty").when(F.col("numbers") == 0, "the sheet holds no numbers").otherwise("no parser found a header, labels and values")
+    return took.select("source_ord", "file", "sheet", "parser", F.when(F.col("parser").isNull(), why).alias("error"))
+
+
 def month_of(ts: Column) -> Column:
     return month_abbreviation(F.month(ts))

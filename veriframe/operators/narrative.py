@@ -46,8 +46,8 @@ def classify_line(line: Column) -> Column:
 
 
 def explode_lines(pages: DataFrame, text: str = "text") -> DataFrame:
-    """pages without their text, with line_no (from 0) and line."""
-    return pages.select(*[c for c in pages.columns if c != text], F.posexplode(F.split(text, r"\r\n|\n|\r")).alias("line_no", "line"))
+    """pages without their text, with line_no (from 0) and line; columns of those names are replaced."""
+    return pages.select(*[c for c in pages.columns if c not in (text, "line", "line_no")], F.posexplode(F.split(text, r"\r\n|\n|\r")).alias("line_no", "line"))
 
 
 def strip_tabular(lines: DataFrame, keys: list[str]) -> DataFrame:

@@ -14,7 +14,7 @@ COMPARISON = (
     "ketimbang", "tren", "trend",
 )
 MAX_DISTINCT = 30
-#: Rows of a query's result that are looked at; a claim needs a handful.
+#: Rows that a query's result may have; a claim needs a handful.
 RESULT_ROWS = 1000
 
 
@@ -55,24 +55,68 @@ def distinct_value_hints(table: DataFrame, name: str, max_distinct: int = MAX_DI
     return out
 
 
+#: Parts of a parsed query that are allowed; whatever is not named here is refused.
+NODES = {
+    "Project", "Filter", "Aggregate", "Join", "Sort", "GlobalLimit", "LocalLimit", "Offset", "Distinct", "Union", "Except", "Intersect", "SubqueryAlias", "OneRowRelation",
+    "UnresolvedRelation", "UnresolvedWith", "UnresolvedInlineTable", "LocalRelation", "UnresolvedSubqueryColumnAliases", "UnresolvedHaving", "WithWindowDefinition", "LateralJoin", "Pivot", "Unpivot",
+}
+#: Functions that call code by name or tell about files and the session.
+REFUSED = {"reflect", "java_method", "try_reflect", "input_file_name", "input_file_block_start", "input_file_block_length", "current_user", "session_user", "user", "version", "current_database", "current_schema", "current_catalog"}
+
+
+def _items(seq) -> list:
+    return [seq.apply(i) for i in range(seq.size())]
+
+
 def check_query(spark: SparkSession, sql: str) -> None:
-    """Raise ValueError unless sql is one plain query: no command, no write, no script."""
-    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
-    stack = [plan]
+    """Raise ValueError unless sql is one plain query over listed tables by built-in functions.
+
+    The parsed plan is walked with its expressions, subqueries and named parts. Only NODES are allowed, so commands,
+    scripts, table functions and transformations are not; a relation must be a listed table, a view or a part of the query itself.
+    """
+    session = spark._jsparkSession.sessionState()
+    plan = session.sqlParser().parsePlan(sql)
+    listed = {t.name.lower() for t in spark.catalog.listTables()}
+    functions = session.functionRegistry()
+    named, read, stack = set(), set(), [plan]
     while stack:
         node = stack.pop()
-        name = node.getClass().getName()
-        if any(part in name for part in (".command.", "Command", "InsertInto", "CreateTable", "CreateView", "DropTable", "SetCatalog", "SetNamespace", "ScriptTransformation")):
-            raise ValueError(f"only queries are allowed, not {node.nodeName()}")
-        kids = node.children()
-        stack += [kids.apply(i) for i in range(kids.size())]
+        kind = node.getClass().getSimpleName()
+        if _is_plan(spark, node):
+            if kind not in NODES:
+                raise ValueError(f"{kind} is not allowed in a query")
+            if kind == "SubqueryAlias":
+                named.add(node.alias().lower())
+            if kind == "UnresolvedWith":
+                for part in _items(node.cteRelations()):
+                    named.add(part._1().lower())
+                    stack.append(part._2())
+            if kind == "UnresolvedRelation":
+                read.add(".".join(_items(node.multipartIdentifier())).lower())
+            stack += _items(node.expressions())
+        else:
+            if kind == "UnresolvedFunction":
+                names = [n.lower() for n in _items(node.nameParts())]
+                if len(names) != 1 or names[0] in REFUSED or not functions.functionExists(spark._jvm.org.apache.spark.sql.catalyst.FunctionIdentifier(names[0])):
+                    raise ValueError(f"the function {'.'.join(names)} is not allowed in a query")
+            if spark._jvm.java.lang.Class.forName("org.apache.spark.sql.catalyst.expressions.PlanExpression").isInstance(node):
+                stack.append(node.plan())
+        stack += _items(node.children())
+    if unknown := read - listed - named:
+        raise ValueError(f"no such table: {', '.join(sorted(unknown))}")
+
+
+def _is_plan(spark: SparkSession, node) -> bool:
+    return spark._jvm.java.lang.Class.forName("org.apache.spark.sql.catalyst.plans.logical.LogicalPlan").isInstance(node)
 
 
 def execute(spark: SparkSession, sql: str) -> tuple[list[list[str | None]] | None, str | None]:
-    """(rows as text, None) or (None, error)."""
+    """(rows as text, None) or (None, error). A result of more than RESULT_ROWS rows is an error, never a part of it."""
     try:
         check_query(spark, sql)
-        rows = spark.sql(sql).limit(RESULT_ROWS).collect()
+        rows = spark.sql(sql).limit(RESULT_ROWS + 1).collect()
+        if len(rows) > RESULT_ROWS:
+            raise ValueError(f"the result has more than {RESULT_ROWS} rows; aggregate it")
         return [[None if v is None else str(v) for v in r] for r in rows], None
     except Exception as e:
         return None, str(e).split("\n")[0][:500]

@@ -101,7 +101,8 @@ def verify_facts(tables: Tables, facts: DataFrame) -> DataFrame:
         F.min_by(F.struct("source_ord", "source", "found", "factor", "table_unit"), F.when(ok, F.col("source_ord"))).alias("s"),
         F.max(whole & ~ok).alias("bad_unit"),
     )
-    out = base.join(picked, "fact_ord", "left").select("*", "s.source_ord", "s.source", "s.found", "s.factor").drop("s")
+    own = ["scope", "fact_ord", "operation", "claimed_value", "unit", "context_quote", "page_number", "periods", "gate", "metric_label"]
+    out = base.select(*own).join(picked, "fact_ord", "left").select(*own, "bad_unit", "s.source_ord", "s.source", "s.found", "s.factor")
     out = _with_prior(out, tables)
     return _judged(out)
 

@@ -192,16 +192,23 @@ def cells_from_rows(spark: SparkSession, grids: list[tuple[str, str, list[list]]
 
 
 def number_sources(rows: DataFrame, sheets: str | None = None) -> DataFrame:
-    """Cells with source_ord by file and sheet order. sheets: names, one a file (the last goes on), default all."""
+    """Cells with source_ord by file and sheet order. sheets: names, one a file (the last goes on), default all.
+
+    A file without the wanted sheet is a ValueError that lists its sheets. The driver sees names of files and sheets only.
+    """
     cells = rows.where("kind <> 'error'")
-    if sheets:
-        names = [s.strip() for s in sheets.split(",") if s.strip()]
-        files = [r["file"] for r in cells.select("file").distinct().orderBy("file").collect()]
-        wanted = cells.sparkSession.createDataFrame([(f, names[min(i, len(names) - 1)]) for i, f in enumerate(files)], "file string, sheet string")
-        cells = cells.join(F.broadcast(wanted), ["file", "sheet"])
+    names = [s.strip() for s in (sheets or "").split(",") if s.strip()]
     keys = [(r["file"], r["sheet_no"], r["sheet"]) for r in cells.select("file", "sheet_no", "sheet").distinct().orderBy("file", "sheet_no").collect()]
+    if names:
+        files = sorted({f for f, _, _ in keys})
+        wanted = {f: names[min(i, len(names) - 1)] for i, f in enumerate(files)}
+        for f, name in wanted.items():
+            there = [s for g, _, s in keys if g == f]
+            if name not in there:
+                raise ValueError(f"{f} has no sheet {name!r}; its sheets: {', '.join(there)}")
+        keys = [(f, n, s) for f, n, s in keys if wanted[f] == s]
     order = cells.sparkSession.createDataFrame([(f, s, i) for i, (f, _, s) in enumerate(keys)], "file string, sheet string, source_ord int")
-    return cells.join(F.broadcast(order), ["file", "sheet"])
+    return cells.join(order, ["file", "sheet"])
 
 
 def propagate_merges(cells: DataFrame) -> DataFrame:

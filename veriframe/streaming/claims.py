@@ -38,3 +38,17 @@ def verify_stream(facts: DataFrame, tables: Tables, path: str, checkpoint: str):
         verify_facts(tables, df).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return facts.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def run_available(rows: DataFrame, path: str, mode: str = "complete") -> DataFrame:
+    """What a streaming aggregation gives for all that its source holds now, from Parquet below path.
+
+    With complete mode a batch replaces the one before; with append mode every batch has a folder of its own, and groups come
+    when the watermark has passed them. The checkpoint lies beside, so a run that broke off goes on where it was.
+    """
+
+    def batch(df: DataFrame, number: int) -> None:
+        df.write.mode("overwrite").parquet(f"{path}/rows" if mode == "complete" else f"{path}/rows/batch={number}")
+
+    rows.writeStream.outputMode(mode).foreachBatch(batch).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return rows.sparkSession.read.schema(rows.schema).parquet(f"{path}/rows")
