@@ -381,9 +381,13 @@ def test_backoff(docs, no_docs, rows, monkeypatch):
     assert backoff_lm.score(no_docs).count() == 0
 
 
-def test_frequent_counts_survive_bytes():
-    small, large = np.array([3, 255, 255], np.uint8), np.array([255, 70000], "<u8")
-    assert backoff_lm._widen(small.tobytes(), large.tobytes()).tolist() == [3, 255, 70000]
+def test_backoff_counts_are_joined_once_dealt(spark, docs, monkeypatch):
+    """The plan counts and joins exploded n-grams in one partitioning by hash."""
+    monkeypatch.setattr(backoff_lm, "BLOCK_WORDS", 3000)
+    plan = backoff_lm.score(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "HashAggregate" in plan and plan.count("hashpartitioning(gram") == 2
+    rows = [(1, 10, 5 << 32 | 3), (1, 20, 7 << 32 | 4), (2, 10, 6 << 32 | 9)]
+    assert [tuple(r) for r in backoff_lm.count_table(spark.createDataFrame(rows, "gram long, block long, at long")).collect()] == [(1, 7)]
 
 
 @pytest.mark.parametrize("n", [0, 1, 1000])

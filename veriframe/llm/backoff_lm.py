@@ -10,15 +10,17 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import bounded_batches, stage, table
+from ._common import stage, table
 from .near_dedup import groups_of
 from .shingles import mix, word_hashes, words
 
 ALPHA = 0.4
-#: Words of a block of documents, the unit in which n-grams are exploded, counted once and looked up.
-BLOCK_WORDS = 3 << 19
-#: Distinct n-grams (of blocks) that a bucket of the count tables holds on average.
-BUCKET_ENTRIES = 1 << 21
+#: Words of a block of documents, the unit in which n-grams are exploded with their counts.
+BLOCK_WORDS = 1 << 20
+#: Words of the corpus for each partition of the count table.
+PARTITION_WORDS = 1 << 20
+#: Rows of an Arrow batch.
+ROWS = 1 << 16
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -88,63 +90,22 @@ class Grams:
     def counts(self) -> np.ndarray:
         return np.concatenate([np.bincount(self.word_at, minlength=len(self.words)), np.bincount(self.pair_at, minlength=len(self.pairs))])
 
-    def order(self, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-        """(places of the keys, by bucket; first place of each bucket and the end)."""
-        b = bucket_of(self.keys(), buckets)
-        order = np.argsort(b, kind="stable")
-        return order, np.searchsorted(b[order], np.arange(buckets + 1))
-
-
-def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
-    return ((keys >> np.uint64(48)) * np.uint64(buckets)) >> np.uint64(16)
-
 
 def _grams(row: dict) -> Grams:
     sizes = np.array(row["sizes"], np.int64)
     return Grams(sizes, np.frombuffer(row["vocabulary"], np.uint64), unpack_numbers(row["numbers"], int(sizes.sum())))
 
 
-def _explode(buckets: int):
-    """A row for each block and bucket: the block's distinct n-grams there (low 48 bits) and their counts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                g = _grams(row)
-                order, cuts = g.order(buckets)
-                low = g.keys()[order].view(np.uint8).reshape(-1, 8)[:, :6]
-                counts = g.counts()[order].astype("<u4")
-                some = np.flatnonzero(np.diff(cuts))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(some, pa.int32()), pa.array(np.full(len(some), row["block"]), pa.int64()),
-                     pa.array([low[cuts[b] : cuts[b + 1]].tobytes() for b in some], pa.binary()),
-                     pa.array([counts[cuts[b] : cuts[b + 1]].tobytes() for b in some], pa.binary())],
-                    ["bucket", "block", "keys", "counts"],
-                )
-
-    return run
-
-
-def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The count table of each bucket, joined back to the rows it was made of."""
-    for t in groups_of(batches, "bucket"):
-        raw = t.column("keys").to_pylist()
-        low = np.frombuffer(b"".join(raw), np.uint8).reshape(-1, 6)
-        keys = np.zeros((len(low), 8), np.uint8)
-        keys[:, :6] = low
-        counts = np.frombuffer(b"".join(t.column("counts").to_pylist()), "<u4")
-        _, at = np.unique(keys.view("<u8").ravel(), return_inverse=True)
-        total = np.bincount(at, weights=counts)[at].astype("<u8")
-        ends = np.cumsum([len(r) // 6 for r in raw])
-        parts = [p.tobytes() for p in np.split(np.minimum(total, 255).astype(np.uint8), ends[:-1])]
-        large = [p[p >= 255].tobytes() for p in np.split(total, ends[:-1])]
-        yield pa.RecordBatch.from_arrays([t.column("block").combine_chunks(), t.column("bucket").combine_chunks(), pa.array(parts, pa.binary()), pa.array(large, pa.binary())], ["block", "bucket", "small", "large"])
-
-
-def _widen(small: bytes, large: bytes) -> np.ndarray:
-    out = np.frombuffer(small, np.uint8).astype(np.float64)
-    out[out == 255] = np.frombuffer(large, "<u8")
-    return out
+def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each block and distinct n-gram: its hash, and its place and count in the block in one number."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            g = _grams(row)
+            keys = g.keys().view(np.int64)
+            at = np.arange(len(keys), dtype=np.int64) << 32 | g.counts()
+            for lo in range(0, len(keys), ROWS):
+                part = keys[lo : lo + ROWS]
+                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.full(len(part), row["block"])), pa.array(at[lo : lo + ROWS])], ["gram", "block", "at"])
 
 
 def score_block(g: Grams, n_docs: int, total: np.ndarray, corpus_words: int, alpha: float = ALPHA) -> tuple[np.ndarray, np.ndarray]:
@@ -169,17 +130,14 @@ def score_block(g: Grams, n_docs: int, total: np.ndarray, corpus_words: int, alp
     return np.bincount(g.doc, weights=np.log10(value), minlength=n_docs), np.bincount(g.doc, weights=found, minlength=n_docs).astype(np.int64)
 
 
-def _score(buckets: int, corpus_words: int):
+def _score(corpus_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in groups_of(batches, "block"):
-            rows = t.to_pylist()
-            block = next(r for r in rows if r["bucket"] < 0)
+            block = t.slice(0, 1).to_pylist()[0]  # place -1
+            told = t.slice(1).select(["place", "total"])
             g = _grams(block)
-            order, cuts = g.order(buckets)
-            total = np.zeros(len(order))
-            for r in rows:
-                if r["bucket"] >= 0:
-                    total[order[cuts[r["bucket"]] : cuts[r["bucket"] + 1]]] = _widen(r["small"], r["large"])
+            total = g.counts().astype(np.float64)
+            total[told.column("place").to_numpy()] = told.column("total").to_numpy()
             logs, found = score_block(g, len(block["ids"]), total, corpus_words)
             n = np.array(block["sizes"], np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -190,6 +148,15 @@ def _score(buckets: int, corpus_words: int):
     return run
 
 
+def count_table(grams: DataFrame) -> DataFrame:
+    """(gram, total) of the n-grams that occur in several blocks, from rows (gram, block, at) partitioned by gram.
+
+    An n-gram of one block alone has its total there already.
+    """
+    counted = grams.groupBy("gram").agg(F.sum(F.col("at").bitwiseAND(F.lit(0xFFFFFFFF))).alias("total"), F.min("block").alias("low"), F.max("block").alias("high"))
+    return counted.where("low < high").select("gram", "total")
+
+
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, pairs_found, log10_score, mean_log10 of every row by a bigram model of all rows.
 
@@ -198,25 +165,28 @@ def score(docs: DataFrame) -> DataFrame:
     otherwise vouch for itself. Words are those between white space, with A-Z lower-cased.
 
     Documents go into blocks of about BLOCK_WORDS words, staged as word numbers. A block's distinct
-    n-grams are exploded by hash bucket with their counts, so a frequent n-gram is one entry a
-    block; a bucket's count table is made and joined to its entries in one task of bounded size;
-    the totals go back to their block, where they are summed by document.
+    n-grams are exploded to rows, so a frequent n-gram is one row a block, and dealt by hash once: both the
+    count table and its join to the exploded n-grams take place in that partitioning, whose parts grow in
+    number with the corpus. Totals other than the block's own counts go back to their block, where they are summed by document.
 
     Null, empty and blank texts have no words, score 0 and a null mean. Repeated rows count as rows
-    of their own. Only doc_id and text are read. Keys are 48 bits beside the bucket.
+    of their own. An empty table gives an empty result. A text is never cut, so a very long one is a block
+    by itself and must fit a task. Only doc_id and text are read. N-grams are told apart by hashes of 64 bits.
     """
-    bounded_batches(docs.sparkSession)
+    spark = docs.sparkSession
     blocks = docs.select(F.col("doc_id").cast("long"), F.monotonically_increasing_id().alias("salt"), "text")
     blocks = stage(blocks.mapInArrow(_blocks, "block long, ids array<long>, sizes array<int>, vocabulary binary, numbers binary"), "blocks")
     n = blocks.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
-    buckets = min(1 << 16, max(docs.sparkSession.sparkContext.defaultParallelism * 4, -(-n // BUCKET_ENTRIES)))
-    entries = blocks.select("block", "sizes", "vocabulary", "numbers").mapInArrow(_explode(buckets), "bucket int, block long, keys binary, counts binary")
-    totals = entries.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_totals, "block long, bucket int, small binary, large binary")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // PARTITION_WORDS))
+    exploded = blocks.select("block", "sizes", "vocabulary", "numbers").mapInArrow(_explode, "gram long, block long, at long")
+    grams = exploded.repartition(parts, "gram")
+    joined = grams.join(count_table(grams).hint("shuffle_hash"), "gram")
+    totals = joined.select("block", F.shiftrightunsigned("at", 32).cast("int").alias("place"), "total")
     gone = {c: F.lit(None) for c in ("ids", "sizes", "vocabulary", "numbers")}
-    whole = blocks.withColumns({"bucket": F.lit(-1), "small": F.lit(None).cast("binary"), "large": F.lit(None).cast("binary")})
+    whole = blocks.withColumns({"place": F.lit(-1), "total": F.lit(None).cast("long")})
     met = whole.unionByName(totals.withColumns(gone))
-    return met.repartition("block").sortWithinPartitions("block", "bucket").mapInArrow(
-        _score(buckets, n), "doc_id long, n_words long, pairs_found long, log10_score double, mean_log10 double"
+    return met.repartition("block").sortWithinPartitions("block", "place").mapInArrow(
+        _score(n), "doc_id long, n_words long, pairs_found long, log10_score double, mean_log10 double"
     )
 
 
