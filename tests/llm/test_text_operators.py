@@ -257,8 +257,63 @@ def test_ring_moves_little():
 
 
 def test_ring_owner_is_next_clockwise():
+    at = {}
+    for shard in range(3):
+        for v in range(5):
+            place = int.from_bytes(hashlib.sha256(f"shard-{shard}/vnode-{v}".encode()).digest()[:8], "big") % ring_sharding.CELLS
+            at[place] = min(shard, at.get(place, shard))
     owners = ring_sharding.ring_owners(3, 5)
-    assert len(owners) == ring_sharding.CELLS and set(owners) == {0, 1, 2}
+    for cell in [*at, *(p + 1 for p in at), 0, ring_sharding.CELLS - 1]:
+        cell %= ring_sharding.CELLS
+        walk = next(p for p in [*sorted(p for p in at if p >= cell), min(at)])
+        assert owners[cell] == at[walk], cell
+
+
+def brute_ring(rows, n_shards, vnodes):
+    """Shard by (cell, rank in the cell): own shard while it has room, else the next node clockwise whose shard has."""
+    owners = ring_sharding.ring_owners(n_shards, vnodes)
+    room = [len(rows) // n_shards + (s < len(rows) % n_shards) for s in range(n_shards)]
+    out, over = {}, []
+    for cell, rank in sorted(rows):
+        if room[owners[cell]]:
+            room[owners[cell]] -= 1
+            out[cell, rank] = owners[cell]
+        else:
+            over.append((cell, rank))
+    for cell, rank in over:
+        c = (cell + 1) % ring_sharding.CELLS
+        while owners[c] == owners[c - 1] or not room[owners[c]]:
+            c = (c + 1) % ring_sharding.CELLS
+        room[owners[c]] -= 1
+        out[cell, rank] = owners[c]
+    return out
+
+
+def test_ring_seats_against_one_key_at_a_time():
+    rng = random.Random(4)
+    cells = [rng.randrange(ring_sharding.CELLS) for _ in range(600)] + [77] * 300
+    counts = collections.Counter(cells)
+    got = {(cell, r): shard for cell, lo, hi, shard, _ in ring_sharding.seat(dict(counts), 5, 8) for r in range(lo, hi)}
+    assert got == brute_ring([(c, r) for c, n in counts.items() for r in range(n)], 5, 8)
+
+
+def test_sharding_places_and_hot_keys(spark, monkeypatch):
+    monkeypatch.setattr(ring_sharding, "HOT_ROWS", 50)
+    rows = [(i, f"teks {i}") for i in range(500)] + [(7, "sama")] * 400 + [(None, "tanpa")] * 200
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = ring_sharding.shard_documents(docs, 4).collect()
+    assert collections.Counter((r["doc_id"], r["size"]) for r in out) == collections.Counter((i, len(t) + 1) for i, t in rows)
+    slots = collections.defaultdict(list)
+    for r in out:
+        slots[r["shard"]].append(r["slot"])
+    assert {len(s) for s in slots.values()} == {275} and all(sorted(s) == list(range(275)) for s in slots.values())
+    plain = spark.createDataFrame(rows[:500], "doc_id long, text string")
+    cell = {r["doc_id"]: (r["c"], r["h"]) for r in plain.selectExpr("doc_id", "cast(shiftrightunsigned(xxhash64(doc_id), 48) as int) c", "xxhash64(doc_id) h").collect()}
+    ranks, order = {}, sorted(cell, key=lambda i: cell[i])
+    for i in order:
+        ranks[i] = (cell[i][0], sum(cell[j][0] == cell[i][0] and cell[j][1] < cell[i][1] for j in order))
+    want = brute_ring(list(ranks.values()), 4, 64)
+    assert all(want[ranks[r["doc_id"]]] == r["shard"] for r in ring_sharding.shard_documents(plain, 4).collect())
 
 
 def edit_distance(a: str, b: str) -> int:
@@ -349,6 +404,46 @@ def test_quality(spark, docs, no_docs, rows):
     assert quality.keep_good(docs, free).count() == len(rows)
 
 
+def test_quality_numbers_against_plain_python(spark):
+    """Counts, log ratios, threshold, noise and the sampled rows are made anew from the features."""
+    d, labels = quality_docs(spark)
+    model = quality.fit(d, labels)
+    texts = {r["doc_id"]: r["text"] for r in d.collect()}
+    raw, target = collections.Counter(), collections.Counter()
+    for i, t in texts.items():
+        f = quality.features(t).tolist()
+        raw.update(f)
+        if i % 2 == 0 and i % 5 > 0:
+            target.update(f)
+    n_raw, n_target = sum(raw.values()), sum(target.values())
+    for b in range(0, quality.BUCKETS, 97):
+        p = (raw[b] + 1) / (n_raw + quality.BUCKETS)
+        assert math.isclose(model.weights[b], math.log((target[b] + 50 * p) / (n_target + 50) / p), abs_tol=1e-9)
+    out = {r["doc_id"]: r for r in quality.resample(quality.rate(d, model), 0.3).collect()}
+    keys = {}
+    for i, t in texts.items():
+        f = quality.features(t)
+        total, u = sum(model.weights[f]), ((__import__("xxhash").xxh64_intdigest(str(i), 0) >> 11) + 0.5) / 2**53
+        keys[i] = total / len(f) * math.sqrt(len(f)) - math.log(-math.log(u))
+        assert math.isclose(out[i]["gumbel_key"], keys[i], abs_tol=1e-9) and out[i]["accepted"] == (total / len(f) >= model.threshold)
+    best = sorted(keys, key=lambda i: -keys[i])[:60]
+    assert {i for i, r in out.items() if r["sampled"]} == set(best)
+
+
+def test_quality_ties_and_missing_ids(spark):
+    d, labels = quality_docs(spark)
+    odd = spark.createDataFrame([(None, f"kata {i} lain") for i in range(50)] + [(9000, "kata sama saja")] * 30 + [(9001, None), (9002, "")], "doc_id long, text string")
+    rated = quality.rate(odd, quality.fit(d, labels)).collect()
+    assert len({r["gumbel"] for r in rated if r["doc_id"] is None}) == 50
+    assert len({r["gumbel"] for r in rated if r["doc_id"] == 9000}) == 1
+    assert all(r["accepted"] and r["n_features"] == 0 for r in rated if r["doc_id"] in (9001, 9002))
+    for fraction in (0.1, 0.5, 0.9):
+        out = quality.resample(spark.createDataFrame(rated), fraction).collect()
+        keys = sorted((r["gumbel_key"] for r in out), reverse=True)
+        kth = keys[math.ceil(len(out) * fraction) - 1]
+        assert all(r["sampled"] == (r["gumbel_key"] >= kth) for r in out)
+
+
 def test_kth_largest(spark):
     rng = np.random.default_rng(4)
     v = np.concatenate([rng.standard_normal(500) * 1e6, rng.standard_normal(500), [3.0] * 50])

@@ -62,10 +62,10 @@ def exact_topk(embeddings: DataFrame, every: int = 100, k: int = 10, factor: int
     no remaining bound reaches the k-th score, so the result is exact, ties to the smaller vec_id.
 
     Vectors null, empty or with null or non-finite components take no part (zero vectors do), nor
-    do rows without an id. Repeated rows count once; different lengths are not compared. Scores beyond a 64-bit
-    integer are held at its limits. Other columns are not read.
+    do rows without an id. Repeated rows count once; different lengths are not compared. Scaled components and scores
+    beyond a 64-bit integer are held at its limits. Other columns are not read.
     """
-    rows = usable(embeddings, True).withColumn("v", F.transform("v", lambda x: F.floor(x * factor).cast("double")))
+    rows = usable(embeddings, True).withColumn("v", F.transform("v", lambda x: F.floor(x.cast("double") * factor).cast("double")))
     return grid_topk(rows, every, k, make_search(k), pa.int64())
 
 

@@ -196,7 +196,8 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> Data
     Texts are encoded once, whole (null: empty, so the end id alone), and only lengths and
     checksums go on. Pieces are dealt by a hash into groups of about GROUP_PIECES, each packed by a
     task of its own; full pieces are a sequence by themselves. Ids of sequences: group * 2**32 +
-    number in the group. Repeated rows are packed as rows of their own. Only doc_id and text are read.
+    number in the group. Repeated rows are packed as rows of their own. Very long texts are cut into
+    full pieces and a rest; an empty table gives an empty result. Only doc_id and text are read.
     """
     cut = stage(pieces(docs, tokenizer_path, capacity), "pieces")
     groups = max(1, -(-cut.count() // GROUP_PIECES))

@@ -130,12 +130,18 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> Model:
             got = [_log_ratio(weights, t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_pydict({"q": batch.column("__quality"), "m": [s / n if n else 0.0 for s, n in got]})
 
-    rated = docs.select("doc_id", "text").join(picked, "doc_id").select("text", "__quality").mapInArrow(rate, "q int, m double").collect()
+    # One row an id, so that the rows that come to the driver are as many as the sample, however often an id is repeated.
+    once = docs.select("doc_id", "text").join(picked, "doc_id").groupBy("doc_id", "__quality").agg(F.min("text").alias("text"))
+    rated = once.select("text", "__quality").mapInArrow(rate, "q int, m double").collect()
     return Model(weights, best_threshold(np.array([r["m"] for r in rated]), np.array([r["q"] == 1 for r in rated], bool)))
 
 
 def keep_good(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs that the model accepts, all columns as they are; no shuffle."""
+    """The rows of docs that the model accepts, all columns as they are; no shuffle.
+
+    Null, empty and blank texts hold no n-gram and are kept. Texts are rated whole. Equal texts share their fate; an empty table
+    gives an empty one. Only text is read.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only("quality")
@@ -147,21 +153,29 @@ def keep_good(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def rate(docs: DataFrame, model: Model, seed: int = 0) -> DataFrame:
-    """doc_id, n_features, log_weight (sum of log ratios), mean_ratio, accepted, gumbel (0..1 hash noise turned)."""
+    """doc_id, n_features, log_weight (sum of log ratios), mean_ratio, accepted, gumbel of every row; one scan, no shuffle.
+
+    gumbel is Gumbel noise made of a hash of the doc_id, or of the text where there is none. Null, empty and
+    blank texts have no n-grams, weigh 0 and are accepted. Texts are rated whole. Repeated rows are rated alike; an empty table gives
+    an empty result. Only doc_id and text are read.
+    """
+
+    def noise(doc_id: int | None, text: str | None) -> float:
+        h = xxhash.xxh64_intdigest(f"{doc_id}", seed) if doc_id is not None else xxhash.xxh64_intdigest((text or "").encode("utf-8", "replace"), seed + 1)
+        return -np.log(-np.log(((h >> 11) + 0.5) / 2**53))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only("quality")
         for batch in batches:
             ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
             got = [_log_ratio(model.weights, t) for t in texts]
-            noise = [-np.log(-np.log(((xxhash.xxh64_intdigest(f"{i}", seed) >> 11) + 0.5) / 2**53)) for i in ids]
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch.column("doc_id"),
                 "n_features": pa.array([n for _, n in got], pa.int64()),
                 "log_weight": pa.array([s for s, _ in got], pa.float64()),
                 "mean_ratio": pa.array([s / n if n else 0.0 for s, n in got], pa.float64()),
                 "accepted": pa.array([model.accepts(s, n) for s, n in got], pa.bool_()),
-                "gumbel": pa.array(noise, pa.float64()),
+                "gumbel": pa.array([noise(i, t) for i, t in zip(ids, texts)], pa.float64()),
             })
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
@@ -198,6 +212,8 @@ def resample(rated: DataFrame, fraction: float = 0.5, scale: float = 1.0) -> Dat
 
     Equals sampling without replacement in proportion to the weights. The weight of a document is
     its mean log ratio times `scale` times the square root of its n-grams, so that long documents do not decide alone.
+    Rows of one key, which repeated rows are, are sampled together: all rows of the k-th key are in, even if
+    that makes more than k. An empty table gives an empty result; other columns are carried along.
     """
     weight = F.col("mean_ratio") * F.sqrt(F.col("n_features").cast("double")) * F.lit(scale)
     keyed = rated.withColumn("gumbel_key", weight + F.col("gumbel")).drop("gumbel")

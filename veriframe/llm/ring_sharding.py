@@ -14,6 +14,8 @@ from ._common import stage, table
 #: table, the driver sees at most this many counts, and the segments sent back are bounded by it.
 CELL_BITS = 16
 CELLS = 1 << CELL_BITS
+#: Rows of a cell that are ranked in one piece; a cell with more (one key repeated over and over) is ranked in parts.
+HOT_ROWS = 1 << 16
 
 
 def ring_owners(n_shards: int, vnodes: int) -> list[int]:
@@ -67,6 +69,28 @@ def seat(counts: dict[int, int], n_shards: int, vnodes: int) -> list[tuple[int,
     return segments
 
 
+def listed(spark: SparkSession, rows: list[dict], fields: str) -> DataFrame:
+    """A bounded table of the driver's as a literal of the plan."""
+    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{fields}>>")))
+
+
+def parted(narrow: DataFrame, counts: dict[int, int]) -> DataFrame:
+    """narrow with the part of its cell that a row is in, and the number of the cell's rows in parts before it."""
+    most = max(HOT_ROWS, 4 * -(-sum(counts.values()) // CELLS))
+    hot = [{"cell": c, "parts": -(-n // most)} for c, n in counts.items() if n > most]
+    if not hot:
+        return narrow.withColumns({"part": F.lit(0), "before": F.lit(0).cast("long")})
+    spark = narrow.sparkSession
+    cells = listed(spark, hot, "cell:int,parts:int")
+    dealt = narrow.join(F.broadcast(cells), "cell", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("row"), F.col("parts")).cast("int"), F.lit(0))).drop("parts")
+    sizes = dealt.join(F.broadcast(cells.select("cell")), "cell", "left_semi").groupBy("cell", "part").agg(F.count("*").alias("n")).collect()
+    before, so_far = [], {}
+    for r in sorted(sizes, key=lambda r: (r["cell"], r["part"])):
+        before.append({"cell": r["cell"], "part": r["part"], "before": so_far.get(r["cell"], 0)})
+        so_far[r["cell"]] = so_far.get(r["cell"], 0) + r["n"]
+    return dealt.join(F.broadcast(listed(spark, before, "cell:int,part:int,before:long")), ["cell", "part"], "left").fillna(0, ["before"])
+
+
 def shard_documents(
     docs: DataFrame, n_shards: int = 16, vnodes: int = 64, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
@@ -74,12 +98,14 @@ def shard_documents(
 
     Law `rows`: the shards' row counts differ by one at most, by the bounded loads of the ring.
     size is the UTF-8 length of the text (null: 0) plus 1. A row without a key is placed by its
-    text. Repeated rows are rows of their own and get neighbouring places; ties in the hash go by
-    key, size and checksum. An empty table gives an empty result. Other columns are not read.
+    text. Repeated rows are rows of their own; ties in the hash go by
+    key, size and checksum. In a cell of over HOT_ROWS rows, which only repeated rows make, the rows are dealt into parts
+    whose ranks follow each other, since any of its places is as good for a row. Very long texts are only
+    measured. An empty table gives an empty result. Other columns are not read.
 
     Plan: one scan of the texts to a narrow staged table; counts of at most 2**16 cells to the
-    driver; one shuffle of narrow rows by cell for the rank inside a cell (a cell has about
-    rows / 65536 of them); a broadcast join with the bounded segment list.
+    driver, and of the parts of hot cells, at most as many again; one shuffle of narrow rows by cell and part for the rank inside
+    it; a broadcast join with the bounded segment list.
     """
     spark = docs.sparkSession
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
@@ -91,20 +117,18 @@ def shard_documents(
             (F.octet_length(body) + F.lit(1)).cast("long").alias("size"),
             crc.cast("long").alias("text_crc32"),
             placed.alias("h"),
+            F.monotonically_increasing_id().alias("row"),
         ).withColumn("cell", F.shiftrightunsigned("h", 64 - CELL_BITS).cast("int")),
         "ring",
     )
     counts = {r["cell"]: r["n"] for r in narrow.groupBy("cell").agg(F.count("*").alias("n")).collect()}
+    narrow = parted(narrow, counts)
     segments = [
         dict(zip(("cell", "lo", "hi", "shard", "base"), s)) for s in seat(counts, n_shards, vnodes)
     ]
-    seats = spark.range(1).select(
-        F.inline(
-            F.from_json(F.lit(json.dumps(segments)), "array<struct<cell:int,lo:long,hi:long,shard:int,base:long>>")
-        )
-    )
-    order = Window.partitionBy("cell").orderBy("h", "doc_id", "size", "text_crc32")
-    ranked = narrow.withColumn("r", F.row_number().over(order).cast("long") - 1)
+    seats = listed(spark, segments, "cell:int,lo:long,hi:long,shard:int,base:long")
+    order = Window.partitionBy("cell", "part").orderBy("h", "doc_id", "size", "text_crc32", "row")
+    ranked = narrow.withColumn("r", F.row_number().over(order).cast("long") - 1 + F.col("before"))
     return ranked.join(F.broadcast(seats), ["cell"]).where("r >= lo AND r < hi").select(
         "doc_id",
         "size",

@@ -273,7 +273,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> Scorer:
     known = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("__toxic"))
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
     ids = known.where("__toxic = 1").orderBy(*order).limit(per_class).unionByName(known.where("__toxic = 0").orderBy(*order).limit(per_class))
-    sample = stage(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "__toxic"), "toxic-sample")
+    sample = stage(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "__toxic"), "toxic-sample")
     n = {r["__toxic"]: r["n"] for r in sample.groupBy("__toxic").agg(F.count("*").alias("n")).collect()}
     n_toxic, n_clean = n.get(1, 0), n.get(0, 0)
     if not n_toxic or not n_clean:
@@ -289,7 +289,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> Scorer:
             xs = [scorer.features(t)[0].tolist() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_pydict({"y": batch.column("__toxic"), "x": pa.array(xs, pa.list_(pa.float64()))})
 
-    rated = sample.mapInArrow(rate, "y int, x array<double>").collect()
+    # One row an id, so that what comes to the driver is bounded by the sample, however often an id is repeated.
+    once = sample.groupBy("doc_id", "__toxic").agg(F.min("text").alias("text"))
+    rated = once.mapInArrow(rate, "y int, x array<double>").collect()
     scorer.weights = logistic(np.array([r["x"] for r in rated]), np.array([r["y"] for r in rated], float))
     return scorer
 
@@ -297,8 +299,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> Scorer:
 def score_documents(docs: DataFrame, scorer: Scorer) -> DataFrame:
     """doc_id, held_out, score, predicted, hits for every row; one scan, no shuffle.
 
-    Null and empty texts get the score of a text without hits. Repeated rows are scored alike.
-    Only doc_id and text are read.
+    Null and empty texts get the score of a text without hits. Very long texts are scored whole. Repeated rows are scored
+    alike; an empty table gives an empty result. Only doc_id and text are read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 
 def usable(vectors: DataFrame, allow_zero: bool) -> DataFrame:
-    """(vec_id, v): rows with an id and a vector of finite components; repeated rows count once."""
-    v = F.col("embedding").cast("array<double>")
+    """(vec_id, v): rows with an id and a vector of finite components; repeated rows count once. Floats stay floats: they move as such."""
+    kind = vectors.schema["embedding"].dataType.simpleString()
+    v = F.col("embedding") if kind == "array<float>" else F.col("embedding").cast("array<double>")
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where(
         F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & fine
@@ -28,7 +29,7 @@ def grid_topk(
     k: int,
     search: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple],
     score_type: pa.DataType,
-    query_block: int = 4096,
+    query_block: int = 16384,
     candidate_block: int = 16384,
 ) -> DataFrame:
     """Top k of every query (vec_id divisible by `every`) among all other rows of equal dimension.
@@ -52,7 +53,7 @@ def grid_topk(
         dim = key[0].as_py()
         ids = t.column("vec_id").to_numpy()
         flat = t.column("v").combine_chunks()
-        x = np.asarray(flat.flatten()).reshape(len(ids), dim)
+        x = np.asarray(flat.flatten()).astype(np.float64).reshape(len(ids), dim)
         asks = t.column("asks").to_numpy(zero_copy_only=False).astype(bool)
         qid, rank, vid, score = search(ids[asks], x[asks], ids[~asks], x[~asks])
         return pa.table({"query_id": pa.array(qid, pa.int64()), "vec_id": pa.array(vid, pa.int64()), "score": pa.array(score, score_type)})
