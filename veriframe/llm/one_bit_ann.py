@@ -60,20 +60,28 @@ def make_search(k: int, eps: float, chunk: int = 256):
                 signs = (np.unpackbits(codes, axis=1, count=dim).astype(np.float32) * 2 - 1) / np.float32(np.sqrt(dim))
                 spread = norm * np.sqrt(np.maximum(1 - align**2, 0)) / align * (eps / np.sqrt(max(dim - 1, 1)))
                 scale = norm / align
+                rounding = 1e-12 * float(lengths(x).max(initial=0))
                 for at in range(0, len(qid), chunk):
                     part = q[at : at + chunk]
                     size = lengths(part)
                     unit = part / np.where(size > 0, size, 1)[:, None]
                     guess = ((unit @ turn).astype(np.float32) @ signs.T).astype(np.float64) * scale * size[:, None] + (part @ centre)[:, None]
+                    plain = np.isfinite(guess).all() and np.isfinite(spread.max(initial=0) * size.max(initial=0)) and np.isfinite(rounding * size.max(initial=0))
                     for i, (query, own) in enumerate(zip(part, qid[at : at + chunk])):
                         bound = spread * size[i] + 1e-5 * (np.abs(guess[i]) + 1)
                         low, high = guess[i] - bound, guess[i] + bound
-                        low, high = np.where(np.isfinite(low), low, -np.inf), np.where(np.isfinite(high), high, np.inf)
-                        others = ids != own
-                        low = np.where(others, low, -np.inf)
+                        if not plain:
+                            low, high = np.where(np.isfinite(low), low, -np.inf), np.where(np.isfinite(high), high, np.inf)
+                        mine = ids == own
+                        low[mine], high[mine] = -np.inf, -np.inf
                         kth = np.partition(low, len(low) - k)[len(low) - k] if len(low) > k else -np.inf
-                        near = np.flatnonzero(others & (high >= kth))
-                        exact = np.nan_to_num((x[near] * query).sum(1), nan=-np.inf, posinf=np.inf, neginf=-np.inf)
+                        near = np.flatnonzero((high >= kth) & ~mine)
+                        if plain and len(near) > 4 * k:  # a product tells what cannot be among the k; the rest is summed row by row, so that equal rows score alike
+                            rough = x[near] @ query
+                            near = near[rough >= np.partition(rough, len(rough) - k)[len(rough) - k] - rounding * size[i]]
+                        exact = (x[near] * query).sum(1)
+                        if not plain:
+                            exact = np.nan_to_num(exact, nan=-np.inf, posinf=np.inf, neginf=-np.inf)
                         top = near[b := best(ids[near], exact, k)]
                         out_q.append(np.full(len(top), own))
                         out_v.append(ids[top])
