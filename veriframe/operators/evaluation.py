@@ -79,3 +79,23 @@ def match_claims(claims: DataFrame, results: DataFrame) -> DataFrame:
 def unmatched(rows: DataFrame, matched: DataFrame, key: str) -> DataFrame:
     """Missing claims (key claim_ord) or spurious results (key result_ord)."""
     return rows.join(matched.select("case_id", key), ["case_id", key], "left_anti")
+
+
+def matched_claims(claims: DataFrame, results: DataFrame) -> DataFrame:
+    """(case_id, claim_ord, result_ord, expected, predicted) of the claims (with expected_verdict) that a result (with verdict) was found for."""
+    pairs = match_claims(claims, results).join(claims.select("case_id", "claim_ord", F.col("expected_verdict").alias("expected")), ["case_id", "claim_ord"])
+    return pairs.join(results.select("case_id", "result_ord", F.col("verdict").alias("predicted")), ["case_id", "result_ord"]).select("case_id", "claim_ord", "result_ord", "expected", "predicted")
+
+
+def end_to_end(claims: DataFrame, results: DataFrame) -> DataFrame:
+    """One row on a whole run: how many expected claims were found, how many results nobody expected, and the verdicts of those found.
+
+    Recall, accuracy and macro F1 are 0 where there is nothing to divide by. unmatched() lists the missing and the spurious ones.
+    """
+    pairs = matched_claims(claims, results)
+    n = claims.agg(F.count("*").alias("expected_claims")).crossJoin(results.agg(F.count("*").alias("found")))
+    verdicts = overall(pairs).select(F.col("n").alias("matched"), F.col("accuracy").alias("verdict_accuracy"), F.col("macro_f1").alias("verdict_macro_f1"))
+    return n.crossJoin(verdicts).select(
+        "expected_claims", "matched", (F.col("expected_claims") - F.col("matched")).alias("missing"), (F.col("found") - F.col("matched")).alias("spurious"),
+        F.coalesce(F.try_divide("matched", "expected_claims"), F.lit(0.0)).alias("extraction_recall"), "verdict_accuracy", "verdict_macro_f1",
+    )

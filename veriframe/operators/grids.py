@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.periods import MONTHS, month_abbreviation, month_name, month_number, parse_period
 from ..functions.text import strip
+from ..staging import drop, staged
 
 #: First possible data column and the label column of wide time series (from 1).
 FIRST_DATA, LABEL = 4, 3
@@ -20,11 +22,19 @@ SNAPSHOT_ROWS, SNAPSHOT_COLS, SNAPSHOT_TEXT = 20, 30, 40
 
 @dataclass
 class Parsed:
-    """meta (TABLE_META), rows (TABLE_ROWS) and data (TABLE_DATA) of the sources a parser took."""
+    """meta (TABLE_META), rows (TABLE_ROWS) and data (TABLE_DATA) of the sources a parser took.
+
+    parse_tables writes them; close() removes what it wrote, once nothing reads it any more.
+    """
 
     meta: DataFrame
     rows: DataFrame
     data: DataFrame
+    written: list[DataFrame] = field(default_factory=list)
+
+    def close(self) -> None:
+        drop(*self.written)
+        self.written.clear()
 
 
 def is_empty() -> Column:
@@ -211,19 +221,26 @@ def parse_by_spec(cells: DataFrame, specs: DataFrame) -> Parsed:
 
 
 def parse_tables(cells: DataFrame, specs: DataFrame | None = None) -> Parsed:
-    """Every source by the first parser that gives data for it: wide, generic, spec (TABLE_SPECS by fingerprint)."""
-    found = [parse_wide(cells), parse_generic(cells)]
+    """Every source by the first parser that gives data for it: wide, generic, spec (TABLE_SPECS by fingerprint).
+
+    Cells are read from their files once and written; so is what each parser finds, and the next one sees only the sources left.
+    """
+    parsers = [parse_wide, parse_generic]
     if specs is not None:
-        mapped = fingerprints(cells).join(specs, "fingerprint")
-        found.append(parse_by_spec(cells, mapped))
-    meta, rows, data = found[0].meta, found[0].rows, found[0].data
-    taken = data.select("source_ord").distinct()
-    meta, rows = meta.join(taken, "source_ord", "left_semi"), rows.join(taken, "source_ord", "left_semi")
-    for p in found[1:]:
-        add = lambda df, t=taken: df.join(t, "source_ord", "left_anti")
-        meta, rows, data, new = meta.unionByName(add(p.meta)), rows.unionByName(add(p.rows)), data.unionByName(add(p.data)), add(p.data).select("source_ord")
-        taken = taken.unionByName(new).distinct()
-    return Parsed(meta, rows, data)
+        parsers.append(lambda left: parse_by_spec(left, fingerprints(left).join(specs, "fingerprint")))
+    left = staged(cells, "cells")
+    done = [left]
+    found: list[Parsed] = []
+    for parse in parsers:
+        p = parse(left)
+        data = staged(p.data, "table-data")
+        took = data.select("source_ord").distinct()
+        meta, rows = (staged(df.join(took, "source_ord", "left_semi"), tag) for df, tag in ((p.meta, "table-meta"), (p.rows, "table-rows")))
+        found.append(Parsed(meta, rows, data))
+        done += [data, meta, rows]
+        left = left.join(took, "source_ord", "left_anti")
+    union = lambda frames: reduce(DataFrame.unionByName, frames)
+    return Parsed(union([p.meta for p in found]), union([p.rows for p in found]), union([p.data for p in found]), done)
 
 
 def source_status(cells: DataFrame, parsed: Parsed) -> DataFrame:

@@ -174,6 +174,11 @@ def verify_document(spark: SparkSession, text: str, extract: Callable[[str], lis
     return judge_claims(run_claims(spark, claims, generate), judge) if claims else spark.createDataFrame([], RESULT)
 
 
+def verify_claim(spark: SparkSession, claim: str, generate: Generator, judge: Judge) -> DataFrame:
+    """The result (RESULT) of one claim; a blank one gives no row."""
+    return verify_document(spark, claim, lambda text: [text], generate, judge)
+
+
 def summary(results: DataFrame) -> DataFrame:
     """One row: number of claims by status, and the sentence."""
     n = results.agg(F.count("*").alias("total"), *[F.count_if(F.col("status") == s).alias(s.lower()) for s in ("Entailed", "Refuted", "Inconclusive", "Error")])
@@ -187,3 +192,8 @@ def list_tables(spark: SparkSession) -> DataFrame:
 def browse(table: DataFrame, key: str, limit: int = 200, offset: int = 0) -> DataFrame:
     """A page of a table in the order of key; limit is held between 1 and 1000."""
     return table.orderBy(key).offset(max(0, offset)).limit(min(max(1, limit), 1000))
+
+
+def browse_with_total(table: DataFrame, key: str, limit: int = 200, offset: int = 0) -> tuple[DataFrame, int]:
+    """A page of a table and the number of its rows."""
+    return browse(table, key, limit, offset), table.count()

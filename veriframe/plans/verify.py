@@ -34,10 +34,10 @@ class Tables:
     data: DataFrame
 
 
-def dedup_facts(facts: DataFrame, strict: bool = False) -> DataFrame:
-    """First fact of each (operation, ordered points); strict also tells claimed values apart."""
+def dedup_facts(facts: DataFrame, strict: bool = False, within: tuple[str, ...] = ()) -> DataFrame:
+    """First fact of each (operation, ordered points), by the columns within; strict also tells claimed values apart."""
     key = ["operation", F.transform("periods", lambda p: F.struct(p["metric_label"], p["year"], p["month"], p["col_label"]))]
-    key += ["claimed_value"] if strict else []
+    key += [*within, "claimed_value"] if strict else within
     keyed = facts.withColumn("__key", F.to_json(F.struct(*[F.col(k).alias(f"k{i}") if isinstance(k, str) else k.alias(f"k{i}") for i, k in enumerate(key)])))
     firsts = keyed.groupBy("__key").agg(F.min("fact_ord").alias("fact_ord"))
     return facts.join(firsts.select("fact_ord"), "fact_ord", "left_semi")
@@ -158,13 +158,36 @@ def _judged(out: DataFrame) -> DataFrame:
     )
     periods = F.when(found, F.when((op == "yoy_growth") & F.col("prior").isNotNull() & (F.col("prior") != 0), F.array(period(F.element_at("periods", 1), F.lit(0)), before)).otherwise(F.transform("periods", period)))
     unit = F.when(op == "yoy_growth", F.when(found, "persen_yoy").otherwise(F.col("unit"))).otherwise(F.col("unit"))
-    return rows.select(
+    judged = rows.select(
         "fact_ord", "operation", "metric_label", F.when(found, F.col("source_ord")).alias("source_ord"), F.col("source").alias("matched_source"),
         periods.alias("result_periods"), F.when(~(found & is_trend), F.col("claimed_value")).alias("claimed_value"), unit.alias("claimed_unit"), "computed",
         F.when(F.col("computed").isNotNull(), delta).alias("delta"),
         F.when(is_trend & found, F.when(F.col("holds"), "Entailed").otherwise("Refuted")).when(F.col("computed").isNotNull(), verdict).otherwise("Inconclusive").alias("verdict"),
         reason.alias("reason"), "context_quote", "page_number",
     )
+    return judged.withColumn("reasoning", reasoning())
+
+
+def reasoning() -> Column:
+    """A sentence on how a result came about, from its columns."""
+    op, source = F.col("operation"), F.coalesce("matched_source", F.lit("?"))
+    number = lambda c: F.format_string("%.4f", c)
+    held = F.when(F.col("verdict") == "Entailed", "holds").otherwise("does not hold")
+    values = F.array_join(F.transform("result_periods", lambda p: number(p["excel_value"])), ", ")
+    trend = F.when(F.size("result_periods") < 2, F.concat(F.lit("a single point shows no change in "), source)).otherwise(F.concat(op, F.lit(" "), held, F.lit(" for "), values, F.lit(" in "), source))
+    side = F.when(F.col("verdict") == "Entailed", "within").otherwise("over")
+    compared = F.concat(
+        F.lit("claimed "), number(F.col("claimed_value")), F.lit(", computed "), number(F.col("computed")), F.lit(" from "), source,
+        F.lit(": a difference of "), number(F.col("delta")), F.lit(", "), side, F.lit(f" the tolerance of {TOLERANCE}"),
+    )
+    said = {
+        "gate": F.concat(op, F.lit(" needs months, but a point names a column")), "unit": F.lit("no source with all points has a unit that the claimed one converts to"),
+        "missing": F.lit("no source holds all points"), "no_source": F.lit("the claim has no points"), "points": F.concat(op, F.lit(" has the wrong number of points")),
+        "prior_missing": F.concat(F.lit("the value of the year before is missing in "), source), "zero": F.concat(F.lit("the value to divide by is zero in "), source),
+    }
+    codes = F.create_map(*[x for k, v in said.items() for x in (F.lit(k), v)])
+    plain = F.when(op.isin(*TREND_OPS), trend).otherwise(F.coalesce(compared, F.lit("no claimed value to compare")))
+    return F.when(F.col("reason") == "ok", plain).otherwise(F.try_element_at(codes, F.col("reason")))
 
 
 def missing_points(tables: Tables, facts: DataFrame) -> DataFrame:
@@ -180,9 +203,9 @@ def missing_points(tables: Tables, facts: DataFrame) -> DataFrame:
     return short.groupBy("fact_ord").agg(F.min_by(F.struct("source_ord", "missing"), F.struct(F.size("missing").alias("n"), "source_ord")).alias("m")).select("fact_ord", "m.*")
 
 
-def verdict_counts(results: DataFrame) -> DataFrame:
-    """One row: number of results by verdict."""
-    return results.agg(*[F.count_if(F.col("verdict") == v).alias(v.lower()) for v in ("Entailed", "Refuted", "Inconclusive", "Error")], F.count("*").alias("total"))
+def verdict_counts(results: DataFrame, *keys: str) -> DataFrame:
+    """Number of results by verdict: one row, or one for each value of the keys."""
+    return results.groupBy(*keys).agg(*[F.count_if(F.col("verdict") == v).alias(v.lower()) for v in ("Entailed", "Refuted", "Inconclusive", "Error")], F.count("*").alias("total"))
 
 
 # Families of tables and the words of metrics that point to them, specific ones first.
