@@ -1,3 +1,5 @@
+import re
+
 from pyspark.sql import functions as F
 
 from veriframe.operators import narrative as N
@@ -101,3 +103,19 @@ def test_candidates_and_issues(spark):
     out = T.issues(f, c, v, none)
     assert [r["category"] for r in out.collect()] == ["ejaan", "ejaan", "grammar", "ejaan"]
     assert T.issue_counts(out).first()["ejaan"] == 3
+
+
+def test_tokens_against_the_text(spark, monkeypatch):
+    monkeypatch.setattr(T, "BATCH_TOKENS", 3)
+    texts = [(1, "Rumah rumah, di-jual 12 ke"), (2, None), (3, ""), (4, " 1 , 2"), (5, "é satu😀dua -a-b-- c"), (5, "dua"), (6, "kata " * 5000)]
+    df = spark.createDataFrame([(i, t, "x") for i, t in texts], "doc_id long, text string, word string").coalesce(1)
+    got = sorted((tuple(r) for r in T.tokenise(df, around=list(T.AROUND)).collect()), key=str)
+    want = []
+    for i, t in texts:
+        places = [(m.start(), m.end()) for m in re.finditer(T.WORD, t or "")]
+        words = [t[a:b] for a, b in places]
+        behind = [t[b:a] for (_, b), (a, _) in zip(places, [*places[1:], (len(t or ""), 0)])]
+        near = lambda of, j: of[j] if 0 <= j < len(of) else None
+        for p, (a, b) in enumerate(places):
+            want.append((i, p, words[p], a, b, behind[p], *(near(words if n[0] == "w" else behind, p + d) for n, d in T.AROUND.items())))
+    assert got == sorted(want, key=str)

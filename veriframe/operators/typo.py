@@ -6,15 +6,21 @@ neighbours inside their row, before they are exploded; only the few tokens that
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator, Sequence
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import running_sums, strip
+from ..functions.text import strip
 
 WORD = "[A-Za-z]+(?:-[A-Za-z]+)*"
 RADIUS = 60
 #: Words of a dictionary that is sent to all executors; a larger one is joined by shuffles.
 BROADCAST_WORDS = 1_000_000
+#: Tokens from which on a batch is handed on.
+BATCH_TOKENS = 1 << 16
 # Non-standard words and their standard forms; month names that are no fragments.
 STANDARD = {
     "resiko": "risiko", "aktifitas": "aktivitas", "aktifitasnya": "aktivitasnya", "jaman": "zaman", "ijin": "izin",
@@ -30,31 +36,57 @@ MONTHS = (
 )
 
 
-#: Neighbours of a token: places of words, and of the gaps behind them, from it.
-AROUND = {"w-2": -2, "w-1": -1, "w1": 1, "w2": 2}
-GAPS = {"g-2": -2, "g-1": -1, "gap": 0, "g1": 1}
+#: Neighbours of a token: words, and the gaps behind words, by their places from it.
+AROUND = {"w-2": -2, "w-1": -1, "w1": 1, "w2": 2, "g-2": -2, "g-1": -1, "g1": 1}
 
 
-def tokenise(docs: DataFrame, key: str = "doc_id", text: str = "text", around: bool = False) -> DataFrame:
-    """(key, pos, word, start, end, gap): tokens with half-open offsets and the marks up to the next token.
+def _shifted(values: list, by: int) -> list:
+    """values[i + by] at every place i, None beyond the ends."""
+    n = len(values)
+    return values[by:] + [None] * min(by, n) if by > 0 else [None] * min(-by, n) + values[: max(n + by, 0)]
 
-    Offsets are running sums of the lengths of words and gaps inside the row. With around, also the words and gaps next to each token.
-    """
-    words = F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0))
-    gaps = F.split(F.col(text), WORD)  # gaps[i] stands before words[i]
-    arrays = docs.select(key, words.alias("w"), gaps.alias("g")).where(F.size("w") > 0)
-    ends = running_sums(F.transform("w", lambda w, i: F.length(w) + F.length(F.get("g", i))))
 
-    def token(w: Column, i: Column) -> Column:
-        parts = [w.alias("word"), F.get("e", i).alias("end"), F.coalesce(F.get("g", i + 1), F.lit("")).alias("gap")]
-        if around:
-            parts += [F.get("w", i + d).alias(n) for n, d in AROUND.items()]
-            parts += [F.when((i + d >= 0) & (i + d < F.size("w")), F.get("g", i + d + 1)).alias(n) for n, d in GAPS.items() if d]
-        return F.struct(*parts)
+def _tokens(around: Sequence[str], fields: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pattern = re.compile(WORD)
+        for batch in batches:
+            of, columns = [], [[] for _ in fields]
+            for row, text in enumerate(batch.column(1)):
+                found = list(pattern.finditer(text.as_py() or ""))
+                if not found:
+                    continue
+                words, starts, ends = [m[0] for m in found], [m.start() for m in found], [m.end() for m in found]
+                whole = found[0].string
+                gaps = [whole[e:s] for e, s in zip(ends, [*starts[1:], len(whole)])]
+                values = [range(len(words)), words, starts, ends, gaps, *(_shifted(words if n[0] == "w" else gaps, AROUND[n]) for n in around)]
+                of += [row] * len(words)
+                for column, more in zip(columns, values):
+                    column += more
+                if len(of) >= BATCH_TOKENS:
+                    yield _batch(batch, of, columns, fields)
+                    of, columns = [], [[] for _ in fields]
+            if of:
+                yield _batch(batch, of, columns, fields)
+
+    return run
+
 
-    rows = arrays.withColumn("e", ends).select(key, F.posexplode(F.transform("w", token)).alias("pos", "t"))
-    more = [F.col("t").getField(n).alias(n) for n in (*AROUND, *GAPS) if around and n != "gap"]
-    return rows.select(key, "pos", F.col("t.word"), (F.col("t.end") - F.length("t.word")).alias("start"), F.col("t.end"), F.col("t.gap"), *more)
+def _batch(batch: pa.RecordBatch, of: list[int], columns: list[list], fields: list[str]) -> pa.RecordBatch:
+    kinds = [pa.int32() if f in ("pos", "start", "end") else pa.string() for f in fields]
+    return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of, pa.int64())), *map(pa.array, columns, kinds)], [batch.schema.names[0], *fields])
+
+
+def tokenise(docs: DataFrame, key: str = "doc_id", text: str = "text", around: Sequence[str] = ()) -> DataFrame:
+    """(key, pos, word, start, end, gap): tokens with half-open offsets and the marks up to the next token.
+
+    Offsets count characters. around: neighbours (of AROUND) that are wanted as columns. Null texts and texts without words have
+    none. One pass over the text in Arrow batches: offsets folded by higher-order functions, which are
+    interpreted, cost many times as much.
+    """
+    fields = ["pos", "word", "start", "end", "gap", *around]
+    kinds = {"pos": "int", "start": "int", "end": "int"}
+    schema = ", ".join([f"`{key}` {docs.schema[key].dataType.simpleString()}", *(f"`{f}` {kinds.get(f, 'string')}" for f in fields)])
+    return docs.select(key, text).mapInArrow(_tokens(around, fields), schema)
 
 
 def strip_markers(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -87,12 +119,11 @@ def scan(docs: DataFrame, dictionary: DataFrame) -> DataFrame:
     """
     known = _known(dictionary)
     low = F.lower("word")
-    t = tokenise(docs, around=True)
     adjacent = F.col("w1").isNotNull() & (strip(F.col("gap")) == "")
     doubles = adjacent & (F.col("w1") == F.lower("w1")) & (F.col("w1") == low) & ~F.contains("word", F.lit("-")) & (F.length("word") >= 3)
     standard = F.try_element_at(F.create_map(*[F.lit(x) for kv in STANDARD.items() for x in kv]), low)
     separate = adjacent & low.isin("di", "ke") & ~doubles
-    pairs = t.where(doubles | separate).withColumns({"doubled": doubles, "joined": F.when(separate, F.lower(F.concat("word", "w1")))})
+    pairs = tokenise(docs, around=["w1"]).where(doubles | separate).withColumns({"doubled": doubles, "joined": F.when(separate, F.lower(F.concat("word", "w1")))})
     pairs = pairs.join(known, pairs["joined"] == known["known"], "left").where("doubled OR known IS NOT NULL")
     # A pair takes two tokens. In a run of tokens that each could open a pair with the next, every other does.
     order = Window.partitionBy("doc_id").orderBy("pos")
@@ -109,7 +140,7 @@ def scan(docs: DataFrame, dictionary: DataFrame) -> DataFrame:
     prefixed = pairs.where("NOT doubled").select(*finding("di_ke_prefix", None, both, F.col("joined"), F.concat(F.lit("di_ke:"), F.lower("w1")), two))
 
     one, word = ["doc_id", "pos", "start", "end"], F.col("word").alias("text")
-    wrong = t.where(standard.isNotNull()).select(*finding("nonstandard", "tidak_baku", word, standard, none, one))
+    wrong = tokenise(docs).where(standard.isNotNull()).select(*finding("nonstandard", "tidak_baku", word, standard, none, one))
     left, right = F.col("g-1") == " ", (F.col("gap") == " ") & F.col("w1").isNotNull()
     joins = (
         F.when(left, F.lower(F.concat("w-1", "word"))), F.when(left & (F.col("g-2") == " "), F.lower(F.concat("w-2", "w-1", "word"))),
@@ -117,7 +148,7 @@ def scan(docs: DataFrame, dictionary: DataFrame) -> DataFrame:
         F.when(left & right, F.lower(F.concat("w-1", "word", "w1"))),
     )
     fragment = (F.col("word") == low) & (F.length("word") >= 2) & ~((F.length("word") == 2) & ~F.col("word").rlike("[aiueo]")) & standard.isNull()
-    lost = t.where(fragment)
+    lost = tokenise(docs, around=list(AROUND)).where(fragment)
     for e in (F.col("word"), *joins):
         lost = lost.withColumn("__e", e)
         lost = lost.join(known, lost["__e"] == known["known"], "left_anti").drop("__e")
