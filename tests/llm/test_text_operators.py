@@ -2,6 +2,7 @@ import collections
 import hashlib
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -383,6 +384,63 @@ def test_toxicity(spark, docs, no_docs, rows):
     assert toxicity.keep_clean(docs, model).count() == len(rows) and toxicity.keep_clean(docs, model).columns == docs.columns
 
 
+def plain_toxic_features(text: str, terms: list) -> tuple[list, int]:
+    """Features of a text by edit distances to every term, term by term and word by word."""
+
+    def closest(word: str):
+        found = []
+        for t, (term, stem, _) in enumerate(terms):
+            most = int(len(term) >= 7) if stem else int(len(term) >= 5) + int(len(term) >= 9)
+            forms = [word[:k] for k in range(1, len(word) + 1)] if stem else [word]
+            edits = min(edit_distance(f, term) for f in forms)
+            if word[0] == term[0] and edits <= most:
+                found.append((edits, t))
+        return min(found, default=None)
+
+    low = text.lower()
+    places = [(m.start(), m.end()) for m in re.finditer(r"[^\W_]+", low)]
+    hits = [(closest(low[a:b]), toxicity.quotation(low, a, b)) for a, b in places]
+    hits = [(h, q) for h, q in hits if h]
+    exact = [(h[1], q) for h, q in hits if h[0] == 0]
+    if not hits:
+        return [1, 0, 0, 0, 0, 0, 0], 0
+    abuse, fuzzy, quoted = sum(1 - q for _, q in exact), sum(1 - q for h, q in hits if h[0]), sum(q for _, q in hits)
+    log1p, odds = math.log1p, max([terms[t][2] for t, _ in exact], default=0)
+    return [1, log1p(abuse), log1p(fuzzy), log1p(quoted), log1p(100 * abuse / len(places)), log1p(len({t for t, _ in exact})), max(odds, 0)], len(hits)
+
+
+def test_toxic_features_against_edit_distances():
+    terms = [("kampret", False, 2.0), ("bangsat", True, 3.5), ("goblokkah", False, 1.5), ("anji", True, 2.5), ("anjing", False, 0.5)]
+    rng, said = random.Random(5), ['"', "\u201c", "\u201d", " said ", " kata ", ", ", ". "]
+    words = ["kampret", "kamprit", "bangsatlah", "bxngsatnya", "goblkkaah", "anjingan", "anxing", "rumah", "di", "bang", "KAMPRET", "satu_dua"]
+    scorer = toxicity.Scorer(terms, np.array([-1.0, 0.5, 0.4, -0.3, 0.2, 0.6, 0.7]))
+    for _ in range(150):
+        text = "".join(rng.choice(words) + (rng.choice(said) if rng.random() < 0.3 else " ") for _ in range(rng.randint(0, 30)))
+        want, n = plain_toxic_features(text, terms)
+        got, hits = scorer.features(text)
+        assert hits == n and np.allclose(got, want), text
+        assert math.isclose(scorer.score(text)[0], 1 / (1 + math.exp(-float(np.dot(want, scorer.weights)))))
+
+
+def test_toxic_lexicon_and_weights_made_anew(spark):
+    d, labels = toxic_docs(spark, 300)
+    model = toxicity.fit(d, labels)
+    text = {r["doc_id"]: r["text"] for r in d.collect()}
+    toxic = {r["doc_id"]: r["toxic"] for r in labels.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1}
+    n, seen = collections.Counter(toxic.values()), {0: collections.Counter(), 1: collections.Counter()}
+    for i, y in toxic.items():
+        words = {w for w in re.findall(r"[^\W_]+", text[i].lower()) if 3 <= len(w) <= 30}
+        seen[y].update({(w, False) for w in words} | {(w[:k], True) for w in words for k in range(4, 8) if k < len(w)})
+    least = max(3, round(0.002 * n[1]))
+    odd = {g for g, c in seen[1].items() if c >= least and (c + 0.5) / n[1] >= 25 * (seen[0][g] + 0.5) / n[0]}
+    kept = {(g, stem) for g, stem in odd if not (stem and any((g[:k], True) in odd for k in range(4, len(g))))}
+    want = {(*g, math.log((seen[1][g] + 0.5) / (n[1] + 1)) - math.log((seen[0][g] + 0.5) / (n[0] + 1))) for g in kept}
+    assert {(t, s, round(o, 9)) for t, s, o in model.terms} == {(t, s, round(o, 9)) for t, s, o in want} and want
+    x, y = np.array([plain_toxic_features(text[i], model.terms)[0] for i in toxic], float), np.array(list(toxic.values()), float)
+    slope = x.T @ (y - 1 / (1 + np.exp(-x @ model.weights))) - 0.1 * model.weights
+    assert np.abs(slope).max() < 1e-5  # the ridge likelihood is concave: no slope, no better weights
+
+
 def quality_docs(spark, n=200):
     from .conftest import prose
 

@@ -96,7 +96,7 @@ class Grams:
 
 
 def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
-    return ((keys >> np.uint64(48)) * np.uint64(buckets)) >> np.uint64(16)
+    return ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
 
 
 def _grams(row: dict) -> Grams:
@@ -200,7 +200,8 @@ def score(docs: DataFrame) -> DataFrame:
     Documents go into blocks of about BLOCK_WORDS words, staged as word numbers. A block's distinct
     n-grams are exploded by hash bucket with their counts, so a frequent n-gram is one entry a
     block; a bucket's count table is made and joined to its entries in one task of bounded size;
-    the totals go back to their block, where they are summed by document.
+    the totals go back to their block, where they are summed by document. There are as many buckets as the words
+    ask for, so a bucket does not grow with the table.
 
     Null, empty and blank texts have no words, score 0 and a null mean. Repeated rows count as rows
     of their own. Only doc_id and text are read. Keys are 48 bits beside the bucket.
@@ -209,7 +210,7 @@ def score(docs: DataFrame) -> DataFrame:
     blocks = docs.select(F.col("doc_id").cast("long"), F.monotonically_increasing_id().alias("salt"), "text")
     blocks = stage(blocks.mapInArrow(_blocks, "block long, ids array<long>, sizes array<int>, vocabulary binary, numbers binary"), "blocks")
     n = blocks.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
-    buckets = min(1 << 16, max(docs.sparkSession.sparkContext.defaultParallelism * 4, -(-n // BUCKET_ENTRIES)))
+    buckets = max(docs.sparkSession.sparkContext.defaultParallelism * 4, -(-n // BUCKET_ENTRIES))
     entries = blocks.select("block", "sizes", "vocabulary", "numbers").mapInArrow(_explode(buckets), "bucket int, block long, keys binary, counts binary")
     totals = entries.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_totals, "block long, bucket int, small binary, large binary")
     gone = {c: F.lit(None) for c in ("ids", "sizes", "vocabulary", "numbers")}
